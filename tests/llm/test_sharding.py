@@ -1,0 +1,51 @@
+import zlib
+from collections import Counter
+
+import pyarrow.parquet as pq
+
+from quillspark.llm import sharding
+
+
+def _check(rows, n, shards):
+    sizes = Counter(r.shard for r in rows)
+    assert len(rows) == n
+    assert all(0 <= s < shards for s in sizes)
+    assert max(sizes.values()) - min(sizes.get(s, 0) for s in range(shards)) <= 1
+    for s in sizes:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sizes[s]))
+
+
+def test_whole_table(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    docs = pq.read_table(path).to_pydict()
+    rows = sharding.query(spark.read.parquet(path)).collect()
+    _check(rows, 1000, 24)
+    want = {i: (len(t.encode()) + 8, zlib.crc32(t.encode())) for i, t in zip(docs["doc_id"], docs["text"])}
+    assert {r.doc_id: (r.size, r.text_crc32) for r in rows} == want
+
+
+def test_mixture_of_every_shard(spark):
+    df = spark.range(6000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'hot' else concat('s', id % 7) end as source")
+    out = sharding.interleave(df, 24)
+    rows = out.collect()
+    _check(rows, 6000, 24)
+    whole = Counter(r.source for r in rows)
+    for s in range(24):
+        part = Counter(r.source for r in rows if r.shard == s)
+        assert all(abs(part[k] - n / 24) <= 2 for k, n in whole.items())
+
+
+def test_order_is_seeded(spark):
+    df = spark.range(500).selectExpr("id as doc_id", "'a' as source").repartition(3)
+    place = lambda d, seed: {r.doc_id: (r.shard, r.slot) for r in sharding.interleave(d, 7, seed=seed).collect()}
+    assert place(df, 1) == place(df.coalesce(1), 1)
+    assert place(df, 1) != place(df, 2)
+
+
+def test_odd_rows(odd_docs):
+    rows = sharding.query(odd_docs).collect()
+    _check(rows, 9, 24)
+    assert {r.size for r in rows if r.doc_id in (1, 2)} == {8}
+    out = sharding.interleave(odd_docs.withColumnRenamed("n_chars", "slot"), 4)
+    assert out.columns == ["doc_id", "text", "lang", "source", "shard", "slot"]
+    assert sharding.query(odd_docs.limit(0)).count() == 0
