@@ -47,8 +47,20 @@ def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.query(table(spark, sf_dir, "embeddings"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import quality
+
+    return quality.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import langid
+
+    return langid.query(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_packing, op4_bpe_codec, op6_chat_formatting, op7_topk_search)}
+    return {f.__name__: f for f in (op2_sharding, op3_packing, op4_bpe_codec, op6_chat_formatting, op7_topk_search, op9_quality_rules, op10_language_id)}
 
 
 OP6_SQL = r"""
