@@ -35,6 +35,12 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.query(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import near_dup
+
+    return near_dup.query(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import chat
 
@@ -60,7 +66,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_packing, op4_bpe_codec, op6_chat_formatting, op7_topk_search, op9_quality_rules, op10_language_id)}
+    return {f.__name__: f for f in (op2_sharding, op3_packing, op4_bpe_codec, op5_near_dup, op6_chat_formatting, op7_topk_search, op9_quality_rules, op10_language_id)}
 
 
 OP6_SQL = r"""
