@@ -53,6 +53,12 @@ def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.query(table(spark, sf_dir, "embeddings"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import secrets
+
+    return secrets.query(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import quality
 
@@ -66,7 +72,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_packing, op4_bpe_codec, op5_near_dup, op6_chat_formatting, op7_topk_search, op9_quality_rules, op10_language_id)}
+    return {f.__name__: f for f in (op2_sharding, op3_packing, op4_bpe_codec, op5_near_dup, op6_chat_formatting, op7_topk_search, op8_secret_scan, op9_quality_rules, op10_language_id)}
 
 
 OP6_SQL = r"""
