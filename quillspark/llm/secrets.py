@@ -45,10 +45,9 @@ def _flag(c: Column) -> Column:
     return F.when(c, F.lit(1)).otherwise(F.lit(0))
 
 
-def features(value: Column, before: Column, after: Column, source: Column) -> dict[str, Column]:
+def features(value: Column, before: Column, source: Column) -> dict[str, Column]:
     n = F.length(value)
     runs = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0"), "[^a-zA-Z0-9]+", "_")
-    near = F.concat(before, F.lit(" "), after)
     return {
         "length": n,
         "digits": n - _left_over(value, "[0-9]+"),
@@ -62,7 +61,7 @@ def features(value: Column, before: Column, after: Column, source: Column) -> di
         "path": _left_over(value, "[^/.]+"),
         "source_path": _flag(F.coalesce(source, F.lit("")).rlike("(?i)(?:test|example|fixture|spec|docs?)(?:[/_.-]|$)")),
         "near_keys": _flag(before.rlike(_NEAR_KEYS)),
-        "near_others": _flag(near.rlike(_NEAR_OTHERS)),
+        "near_others": _flag(F.right(before, F.lit(24)).rlike(_NEAR_OTHERS)),
         "assigned": _flag(before.rlike("""[:=][ \t]{0,3}["']?$""")),
         "prefix": _flag(value.rlike(_PREFIX)),
         "uuid": _flag(value.rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-")),
@@ -94,8 +93,7 @@ def _candidates(parts: Column, matches: Column, source: Column) -> Column:
         def of_value(v: Column) -> Column:
             lead = F.substring(match, F.lit(1), F.length(match) - F.length(v))
             before = F.concat(F.right(F.get(parts, k), F.lit(_CONTEXT)), lead)
-            after = F.left(F.get(parts, k + 1), F.lit(_CONTEXT))
-            return F.struct((start + F.length(lead)).alias("start"), lead.alias("lead"), v.alias("value"), F.array(*[c.cast("int") for c in features(v, before, after, source).values()]).alias("features"))
+            return F.struct((start + F.length(lead)).alias("start"), lead.alias("lead"), v.alias("value"), F.array(*[c.cast("int") for c in features(v, before, source).values()]).alias("features"))
 
         return let(value, of_value)
 
