@@ -15,6 +15,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import licenses
+
+    return licenses.query(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import sharding
 
@@ -72,7 +78,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_packing, op4_bpe_codec, op5_near_dup, op6_chat_formatting, op7_topk_search, op8_secret_scan, op9_quality_rules, op10_language_id)}
+    return {f.__name__: f for f in (op1_license_scan, op2_sharding, op3_packing, op4_bpe_codec, op5_near_dup, op6_chat_formatting, op7_topk_search, op8_secret_scan, op9_quality_rules, op10_language_id)}
 
 
 OP6_SQL = r"""
