@@ -1 +1 @@
-
+"""Scalar functions: analyzers and the stemmer."""

@@ -1 +1 @@
-
+"""Index construction, ranking, encoding and validation operators."""

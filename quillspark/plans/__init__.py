@@ -1 +1 @@
-
+"""Query compilation and search plans."""

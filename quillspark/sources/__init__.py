@@ -1 +1 @@
-
+"""Reading corpora, indexes and settings, and writing indexes."""

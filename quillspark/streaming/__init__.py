@@ -1 +1 @@
-
+"""Incremental index builds with Structured Streaming."""
