@@ -350,7 +350,7 @@ GOLDEN = {
     ("rare_term", "vector"): {"doc5": 1.0, "doc8": 1.0},
     ("apple banana", "tfidf"): {"doc2": 0.99657761, "doc1": 0.68827625, "doc10": 0.421213465, "doc3": 0.421213465, "doc4": 0.421213465, "doc5": 0.421213465, "doc9": 0.267062785},
     ("apple banana", "bm25"): {"doc2": 0.687814344, "doc1": 0.605722351, "doc10": 0.559420644, "doc5": 0.559420644, "doc3": 0.501130794, "doc4": 0.381787628, "doc9": 0.290182735},
-    ("apple banana", "vector"): {"doc10": 1.0, "doc3": 1.0, "doc4": 1.0, "doc5": 1.0, "doc2": 0.960760448, "doc1": 0.871064411, "doc9": 0.42101978},
+    ("apple banana", "vector"): {"doc10": 1.0, "doc3": 1.0, "doc4": 1.0, "doc5": 1.0, "doc2": 0.960760448, "doc1": 0.871064411, "doc9": 0.421019784},
 }
 
 
