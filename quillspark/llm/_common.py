@@ -63,6 +63,21 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_slot: dict[object, object] = {}
+
+
+def remembered(key: object, make):
+    """``make()``, kept in this Python worker for its next tasks until another model is asked for.
+
+    Called by reference from workers, so that the store is this module's and not a copy that
+    travels with each task.
+    """
+    if key not in _slot:
+        _slot.clear()
+        _slot[key] = make()
+    return _slot[key]
+
+
 def broadcast_bytes(spark: SparkSession, value: object, limit: int):
     """Broadcast a model whose pickled size is proven to be at most ``limit`` bytes."""
     data = cloudpickle.dumps(value)

@@ -23,12 +23,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm._common import Scratch, broadcast_bytes
+from quillspark.llm._common import Scratch, broadcast_bytes, remembered
 
-_CACHE = 250_000
+_CACHE = 120_000
 _PLAN_LIMIT = 256 << 20
 
 
+_MARKS = ".,;:!?#$%&*()"
+
+
+def _byte_letters() -> list[str]:
+    """The letters that byte-level vocabularies write for the bytes 0 to 255."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)]
+
+
 class WordCoder:
     """Ids of a text by the tokenizers library, remembering chunks between white space.
 
@@ -42,27 +52,41 @@ class WordCoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = str.maketrans({b: c for b, c in enumerate(_byte_letters())})
         coder = self
 
         class Seen(dict):
+            """Two generations: what is in use survives when the younger one is full."""
+
+            old: dict[str, bytes] = {}
+
             def __missing__(self, chunk: str) -> bytes:
+                out = self.old.get(chunk)
+                if out is None:
+                    out = coder._chunk(chunk)
                 if len(self) >= capacity:
+                    self.old = dict(self)
                     self.clear()
-                out = self[chunk] = coder._chunk(chunk)
+                self[chunk] = out
                 return out
 
         self.seen = Seen()
 
     def _chunk(self, chunk: str) -> bytes:
-        # Plain words in any case, with or without a final mark, share one entry. Below
-        # U+0130 letters are their own composed form and have one lower-case letter.
-        body, mark = (chunk[:-1], chunk[-1]) if chunk[-1] in ".," else (chunk, "")
+        # A run of letters and a run of marks are pre-tokens of their own, so plain words in
+        # any case, whatever marks follow, share one entry. Below U+0130 letters are their
+        # own composed form and have one lower-case letter.
+        body = chunk.rstrip(_MARKS)
         if body.isalpha() and max(body) < "İ":
-            low = body.lower()
-            if mark:
-                return self.seen[low] + self.seen[mark]
+            low, marks = body.lower(), chunk[len(body) :]
+            if marks:
+                return self.seen[low] + self.seen[marks]
             if low != chunk:
                 return self.seen[low]
+            # Normalised and one pre-token already: only the merges are left.
+            bytes_ = chunk.encode().decode("latin-1").translate(self.letters)
+            return np.asarray([t.id for t in self.merge(bytes_)], "<u4").tobytes()
         return self.whole(chunk)
 
     def whole(self, text: str) -> bytes:
@@ -74,15 +98,13 @@ class WordCoder:
         return b"".join(map(self.seen.__getitem__, text.split()))
 
 
-_coders: dict[str, WordCoder] = {}
-
-
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, text: str = "text", keep_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, text: str = "text", keep_ids: bool = True, ranks: bool = False) -> DataFrame:
     """Tokenise each text, append ``end_id`` and cut what is longer than ``capacity``.
 
     ``tokenizer`` is the path of a tokenizer file that every executor has. Adds piece,
     start, length, ids_crc32 and, unless ``keep_ids`` is off, the ids as little-endian
-    unsigned 32-bit integers; the text is dropped.
+    unsigned 32-bit integers; the text is dropped. With ``ranks`` the rows are also those of
+    ``ranked``, in the same pass.
     """
     new = [T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
     new += [T.StructField("ids", T.BinaryType())] * keep_ids
@@ -94,10 +116,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, text: st
         import zlib
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if tokenizer not in _coders:
-            _coders.clear()
-            _coders[tokenizer] = WordCoder(tokenizer)
-        encode, end, most = _coders[tokenizer].encode, np.asarray([end_id], "<u4").tobytes(), 4 * capacity
+        coder = remembered(("words", tokenizer), lambda: WordCoder(tokenizer))
+        encode, end, most = coder.encode, np.asarray([end_id], "<u4").tobytes(), 4 * capacity
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -119,7 +139,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, text: st
                     out["ids"] = pa.array(cut, pa.binary())
                 yield pa.RecordBatch.from_pydict(out)
 
-    return docs.select(*[f.name for f in others], text).mapInArrow(run, T.StructType(others + new))
+    out = T.StructType(others + new)
+    if not ranks:
+        return docs.select(*[f.name for f in others], text).mapInArrow(run, out)
+    rank, ranked_out = _ranker(out, capacity, "length")
+    return docs.select(*[f.name for f in others], text).mapInArrow(lambda batches: rank(run(batches)), ranked_out)
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -191,12 +215,8 @@ def _places(bins: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, tuple[np
     return {k: tuple(np.asarray(x, np.int64) for x in zip(*v)) for k, v in rows.items()}
 
 
-def ranked(parts: DataFrame, capacity: int, length: str = "length") -> DataFrame:
-    """Add ``_task``, a random number of the task, and ``_nth``, the rank among its rows of a length.
-
-    Only meaningful once written to a table: the numbers are then data, whatever is run again.
-    """
-    others = [f for f in parts.schema.fields if f.name not in ("_task", "_nth")]
+def _ranker(schema: T.StructType, capacity: int, length: str):
+    others = [f for f in schema.fields if f.name not in ("_task", "_nth")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -214,7 +234,15 @@ def ranked(parts: DataFrame, capacity: int, length: str = "length") -> DataFrame
             np.add.at(seen, size, 1)
             yield pa.RecordBatch.from_pydict({f.name: batch.column(f.name) for f in others} | {"_task": np.full(len(size), task), "_nth": nth})
 
-    return parts.mapInArrow(run, T.StructType(others + [T.StructField("_task", T.LongType()), T.StructField("_nth", T.LongType())]))
+    return run, T.StructType(others + [T.StructField("_task", T.LongType()), T.StructField("_nth", T.LongType())])
+
+
+def ranked(parts: DataFrame, capacity: int, length: str = "length") -> DataFrame:
+    """Add ``_task``, a random number of the task, and ``_nth``, the rank among its rows of a length.
+
+    Only meaningful once written to a table: the numbers are then data, whatever is run again.
+    """
+    return parts.mapInArrow(*_ranker(parts.schema, capacity, length))
 
 
 def assign(parts: DataFrame, capacity: int, length: str = "length") -> DataFrame:
@@ -254,8 +282,8 @@ def assign(parts: DataFrame, capacity: int, length: str = "length") -> DataFrame
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, text: str = "text", keep_ids: bool = True) -> DataFrame:
     """Pack every document of ``docs``; one row per piece with its sequence and offset."""
-    cut = pieces(docs, tokenizer, capacity, end_id, text, keep_ids)
-    return assign(Scratch(docs.sparkSession).keep(ranked(cut, capacity)), capacity)
+    cut = pieces(docs, tokenizer, capacity, end_id, text, keep_ids, ranks=True)
+    return assign(Scratch(docs.sparkSession).keep(cut), capacity)
 
 
 def query(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -114,5 +114,6 @@ def test_coder_equals_library():
     rng = random.Random(2)
     alphabet = "abXYZ'stlve  \n\t\x1c\x85\xa0éÉßΣσЖ日한🙂́İÅ.,_12<|>"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += ["".join(rng.choice("aéßÜñç") for _ in range(rng.randint(1, 12))) + rng.choice(["", "###", ".%%%", ",***", "!!", "'s", "('ll"]) for _ in range(2000)]
     for text, ids in zip(texts, _ids(texts)):
         assert coder.encode(text) == np.asarray(ids[:-1], "<u4").tobytes(), repr(text)
