@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm._common import broadcast_bytes
+from quillspark.llm._common import broadcast_bytes, remembered
 
 # A byte b is the letter U+0100 + b in the pieces: none of these is white space.
 _SHIFT = 0x100
-_CACHE = 250_000
+_CACHE = 120_000
 _MODEL_LIMIT = 32 << 20
 
 
@@ -112,16 +112,10 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I"))) if ids else b""
 
 
-_codecs: dict[int, Codec] = {}
-
-
 def _codec(shared, key: int) -> Codec:
-    if key not in _codecs:
-        from pyspark import cloudpickle
+    from pyspark import cloudpickle
 
-        _codecs.clear()
-        _codecs[key] = Codec(*cloudpickle.loads(shared.value))
-    return _codecs[key]
+    return remembered(("codec", key), lambda: Codec(*cloudpickle.loads(shared.value)))
 
 
 def _share(df: DataFrame, vocabulary: str, pattern: str):

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm._common import broadcast_bytes
+from quillspark.llm._common import broadcast_bytes, remembered
 
 BITS = 6
 SYMBOLS = 1 << BITS
@@ -115,30 +115,47 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", row_key: str =
     return build(languages, keys, counts, symbol)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = np.zeros(256, np.int64)
-    for batch in batches:
-        n += np.bincount(_texts(batch.column("text"))[0], minlength=256)
+    for batch in _slices(batches):
+        data = _texts(batch.column("text"))[0]
+        for lo in range(0, len(data), _CHUNK):
+            n += np.bincount(data[lo : lo + _CHUNK], minlength=256)
     high = np.flatnonzero(n[128:]) + 128
     yield pa.RecordBatch.from_pydict({"b": high.astype(np.int32), "n": n[high]})
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return codes, np.bincount(at, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
+
+
 def _counter(symbol: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, np.ndarray] = {}
-        for batch in batches:
+        # By language: pairs of distinct codes and counts, summed up now and then.
+        totals: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in _slices(batches):
             langs = np.asarray(batch.column("lang").to_pylist(), object)
             for one in set(langs):
                 data, offsets = _texts(batch.column("text").filter(pa.array(langs == one)))
-                codes = codes_of(symbol[data], offsets[:-1])
-                if one not in totals:
-                    totals[one] = np.zeros(1 << 4 * BITS, np.int32)
-                for lo in range(0, len(codes), _CHUNK):
-                    seen, n = np.unique(codes[lo : lo + _CHUNK], return_counts=True)
-                    totals[one][seen] += n.astype(np.int32)
-        for one, n in totals.items():
-            seen = np.flatnonzero(n)
-            yield pa.RecordBatch.from_pydict({"lang": [one] * len(seen), "code": seen.astype(np.int32), "n": n[seen].astype(np.int64)})
+                mine = totals.setdefault(one, [])
+                for lo in range(0, len(data), _CHUNK):
+                    first = max(0, lo - 3)
+                    starts = offsets[(offsets >= first) & (offsets < lo + _CHUNK)] - first
+                    codes = codes_of(symbol[data[first : lo + _CHUNK]], starts)[lo - first :]
+                    mine.append(np.unique(codes, return_counts=True))
+                if len(mine) >= 32:
+                    totals[one] = [_summed(mine)]
+        for one, parts in totals.items():
+            if parts:
+                codes, n = _summed(parts)
+                yield pa.RecordBatch.from_pydict({"lang": [one] * len(codes), "code": codes.astype(np.int32), "n": n})
 
     return run
 
@@ -221,9 +238,6 @@ class Scorer:
         return names, scores
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score`` for each row's whole text."""
     shared = broadcast_bytes(df.sparkSession, model, _MODEL_LIMIT)
@@ -233,14 +247,10 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import cloudpickle
 
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(cloudpickle.loads(shared.value))
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                names, scores = _scorers[key].predict(batch.column(text))
-                yield pa.RecordBatch.from_pydict({f.name: batch.column(f.name) for f in others} | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
+        scorer = remembered(key, lambda: Scorer(cloudpickle.loads(shared.value)))
+        for batch in _slices(batches, 512):
+            names, scores = scorer.predict(batch.column(text))
+            yield pa.RecordBatch.from_pydict({f.name: batch.column(f.name) for f in others} | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
 
     return df.mapInArrow(run, T.StructType(others + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
