@@ -9,8 +9,8 @@ probability above 0.9999, one of 0.9 practically always.
 
 Equal sets are merged first. Partial keys that only one set has cannot meet and are left
 out before tables are formed. Inside a table bucket sets are compared with a centre, the
-set that meets most others, and then only across groups that are not yet connected: first
-with further centres, in the end pair by pair, so that no possible link stays untested
+set that meets most others, and then only across groups that are not yet connected: with
+further centres, in the end in blocks of sets, so that no possible link stays untested
 between different groups and no pair is tested inside one. Every link is confirmed on the
 full sets. Components come from hooking and pointer jumping on tables in the shared folder.
 
@@ -32,10 +32,13 @@ from pyspark.sql import functions as F
 
 from quillspark.llm._common import Scratch
 
-_CACHE = 250_000
+_CACHE = 120_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
-_STARS = 3
+_STARS = 2
+_FAMILY = 100_000_000
+_BLOCK_SETS = 1024
+_BLOCK_BYTES = 16 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -231,14 +234,73 @@ def _star(buckets: DataFrame, labels: DataFrame, tested: DataFrame | None) -> Da
     return pairs if tested is None else _untested(pairs, tested)
 
 
-def _rest(buckets: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
-    """All untested pairs that share a bucket and belong to different groups."""
+def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Bucket rows with their group (root), of the buckets in which groups are still apart."""
     b = buckets.join(labels, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    mixed = b.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    b = b.join(mixed, "key")
-    other = b.select("key", F.col("id").alias("u"), F.col("root").alias("other"))
-    pairs = b.join(other, "key").where("u < id and root <> other").select("u", F.col("id").alias("v")).distinct()
-    return _untested(pairs, tested)
+    least = b.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key", "r0")
+    return b.join(least, "key")
+
+
+def _block_links(percent: int):
+    """All links between the sets of two blocks, by one inverted list of the larger block's hashes."""
+    import pandas as pd
+
+    def run(key, few: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
+        us: list[int] = []
+        vs: list[int] = []
+        if len(few) and len(many):
+            sets = [np.frombuffer(h, _U) for h in many["hashes2"]]
+            sizes = np.asarray([len(x) for x in sets])
+            hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(hashes, kind="stable")
+            hashes, owner = hashes[order], owner[order]
+            ids, roots = many["id2"].to_numpy(), many["root2"].to_numpy()
+            for i, root, h in zip(few["id"], few["root"], few["hashes"]):
+                own = np.frombuffer(h, _U)
+                lo, hi = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+                n = hi - lo
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                common = np.bincount(owner[at], minlength=len(sets))
+                linked = (100 * common >= percent * (sizes + len(own) - common)) & (roots != root)
+                us.extend([i] * int(linked.sum()))
+                vs.extend(ids[linked])
+        return pd.DataFrame({"u": us, "v": vs}, dtype="int64")
+
+    return run
+
+
+def _apart(buckets: DataFrame, labels: DataFrame, tested: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (u, v) between groups that still share buckets.
+
+    Groups that buckets connect form a family. A family's sets are compared in blocks: all
+    but those of its largest group with every one of another group, so the work is what the
+    largest group leaves over times the family. A family whose product of the two passes
+    ``_FAMILY`` is compared pair by pair where buckets are shared instead.
+    """
+    b = scratch.keep(_mixed(buckets, labels))
+    if b.isEmpty():
+        return b.select(F.col("id").alias("u"), F.col("id").alias("v"))
+    family = components(b.select(F.col("r0").alias("u"), F.col("root").alias("v")), scratch)
+    members = b.select("id", "root").distinct().join(family.select(F.col("id").alias("root"), F.col("root").alias("family")), "root")
+    members = scratch.keep(members.join(sets.select("id", F.length("hashes").alias("bytes")), "id"))
+    groups = members.groupBy("family", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    families = scratch.keep(groups.groupBy("family").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "root", "bytes")).alias("major"))
+                            .select("family", "n", F.col("major.root").alias("major"), (F.col("n") - F.col("major.n")).alias("m"), "bytes", (F.col("bytes") - F.col("major.bytes")).alias("m_bytes")))
+    small = families.where(F.col("n") * F.col("m") <= _FAMILY)
+    parts = lambda n, size: F.greatest(F.ceil(F.col(n) / _BLOCK_SETS), F.ceil(F.col(size) / _BLOCK_BYTES), F.lit(1)).cast("int")
+    full = members.drop("bytes").join(small, "family").join(sets, "id").withColumn("p", parts("n", "bytes")).withColumn("q", parts("m", "m_bytes"))
+    spread = lambda df, own, other, c, d: df.withColumn(c, F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn(d, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("family", "x", "y", "id", "root", "hashes")
+    few, many = spread(full.where("root <> major"), "q", "p", "x", "y"), spread(full, "p", "q", "y", "x")
+    # New names, as both sides come from one table.
+    many = many.toDF("f2", "x2", "y2", "id2", "root2", "hashes2")
+    links = few.groupBy("family", "x", "y").cogroup(many.groupBy("f2", "x2", "y2")).applyInPandas(_block_links(percent), "u long, v long")
+    large = families.where(F.col("n") * F.col("m") > _FAMILY)
+    if large.isEmpty():
+        return links
+    wide = b.join(members.join(large, "family").select("id").distinct(), "id")
+    other = wide.select("key", F.col("id").alias("u"), F.col("root").alias("other"))
+    pairs = _untested(wide.join(other, "key").where("u < id and root <> other").select("u", F.col("id").alias("v")).distinct(), tested)
+    return links.unionByName(confirmed(pairs, sets, percent).where("linked").select("u", "v"))
 
 
 def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
@@ -274,10 +336,12 @@ def near_duplicates(docs: DataFrame, row_key: str = "doc_id", text: str = "text"
         if not checked.where("linked").isEmpty():
             labels = components(tested.where("linked"), scratch)
     if tested is not None:
-        # Pairs of different groups away from the centres.
-        checked = scratch.keep(confirmed(_rest(buckets, labels, tested), sets, percent))
-        if not checked.where("linked").isEmpty():
-            labels = components(tested.unionByName(checked).where("linked"), scratch)
+        links = scratch.keep(_apart(buckets, labels, tested, sets, percent, scratch))
+        if not links.isEmpty():
+            labels = components(tested.where("linked").select("u", "v").unionByName(links), scratch)
+    # What the result does not read goes now.
+    for done in (buckets, sets):
+        scratch.drop(done)
     # Ids may repeat over classes (several texts of one id); a class is named by its id.
     merged = classes.select("f1", "f2", "id").join(labels, "id", "left").select("f1", "f2", F.coalesce("root", "id").alias("component_id"))
     out = signed.select("id", "n_shingles", "f1", "f2").join(merged, ["f1", "f2"], "left")
