@@ -6,6 +6,7 @@ length and its UTF-8 bytes.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,20 +23,23 @@ def encode_postings(ids: Column) -> Column:
     return F.unhex(F.concat(F.lpad(F.hex(F.size(ids).cast("long")), 8, "0"), F.array_join(hexed, "")))
 
 
+def _ids_of(data: bytes) -> list[str]:
+    out, at = [], 4
+    for _ in range(int.from_bytes(data[:4], "big")):
+        end = at + 4 + int.from_bytes(data[at : at + 4], "big")
+        out.append(data[at + 4 : end].decode("utf-8", "replace"))
+        at = end
+    return out
+
+
+def _decoded(data: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else _ids_of(x) for x in data.to_pylist()], pa.list_(pa.string()))
+
+
 def decode_postings(data: Column) -> Column:
-    """The id strings of an encoded list: one pass that carries the place of the next length."""
-    digits = F.hex(data)
-    number = lambda at: F.conv(F.substring(digits, at, F.lit(8)), 16, 10).cast("int")
-    none = F.struct(F.lit(9).alias("at"), F.array().cast("array<string>").alias("ids"))
-
-    def step(acc: Column, _: Column) -> Column:
-        size = number(acc["at"])
-        word = F.decode(F.unhex(F.substring(digits, acc["at"] + 8, size * 2)), "UTF-8")
-        return F.struct((acc["at"] + 8 + size * 2).alias("at"), F.concat(acc["ids"], F.array(word)).alias("ids"))
-
-    count = number(F.lit(1))
-    items = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(items, none, step, lambda acc: acc["ids"])
+    """The id strings of an encoded list, in one pass: where a length stands depends on all
+    before it, and built-in functions would copy what they have gathered at every step."""
+    return F.arrow_udf(_decoded, "array<string>")(data)
 
 
 def encoded_index(lists: DataFrame) -> DataFrame:
