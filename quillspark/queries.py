@@ -98,8 +98,13 @@ def vocab_top_df(spark, sf_dir):
 
 @register(BASE + "SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS term_id FROM df WHERE df >= 20")
 def term_ids(spark, sf_dir):
-    frequent = plain_index(spark, sf_dir).postings.groupBy("term").agg(F.count("*").alias("df"), F.array_sort(F.collect_list(F.col("doc_id").cast("string"))).alias("postings")).where("df >= 20")
-    return codec.encoded_index(frequent).select("term", "term_id")
+    lists = index.inverted_lists(plain_index(spark, sf_dir).postings)
+    return codec.encoded_index(lists.where(F.size("postings") >= 20)).select("term", "term_id")
+
+
+@register(BASE + "SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS term_id FROM df")
+def term_ids_all(spark, sf_dir):
+    return codec.encoded_index(index.inverted_lists(plain_index(spark, sf_dir).postings)).select("term", "term_id")
 
 
 @register(BASE + "SELECT d.doc_id, q.term, coalesce(p.tf, 0) AS tf, dl.dl FROM documents d CROSS JOIN (VALUES ('this'), ('nosuchword')) q(term) LEFT JOIN p ON p.doc_id = d.doc_id AND p.term = q.term JOIN dl ON dl.doc_id = d.doc_id")

@@ -27,3 +27,9 @@ def test_every_term_goes_through_the_codec(spark):
     got, want = (e.queries()[n](spark, DIR) for n in ("codec_round_trip_all", "inverted_index"))
     assert got.where(F.size(F.split("postings", ", ")) > 100).count() > 0
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_every_term_has_the_id_of_its_offset(spark):
+    got, want = e.queries()["term_ids_all"](spark, DIR), e.queries()["term_offsets"](spark, DIR).select("term", "term_id")
+    assert got.count() == e.queries()["term_df"](spark, DIR).count()
+    assert got.exceptAll(want).isEmpty()
