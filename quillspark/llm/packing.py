@@ -44,14 +44,15 @@ class WordCoder:
 
     The tokenizer's normaliser and pre-tokeniser never look across white space, so the ids
     of a text are those of its chunks in turn. A text with U+001C to U+001F, which only
-    Python counts as white space, goes to the library whole.
+    Python counts as white space, goes to the library whole. ``plain_specials`` reads the
+    names of special tokens as plain text; the library's default is their ids.
     """
 
-    def __init__(self, path: str, capacity: int = _CACHE):
+    def __init__(self, path: str, capacity: int = _CACHE, plain_specials: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_specials
         self.merge = self.tokenizer.model.tokenize
         self.letters = str.maketrans({b: c for b, c in enumerate(_byte_letters())})
         coder = self
@@ -98,7 +99,7 @@ class WordCoder:
         return b"".join(map(self.seen.__getitem__, text.split()))
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, text: str = "text", keep_ids: bool = True, ranks: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, text: str = "text", keep_ids: bool = True, ranks: bool = False, plain_specials: bool = True) -> DataFrame:
     """Tokenise each text, append ``end_id`` and cut what is longer than ``capacity``.
 
     ``tokenizer`` is the path of a tokenizer file that every executor has. Adds piece,
@@ -116,7 +117,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, text: st
         import zlib
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = remembered(("words", tokenizer), lambda: WordCoder(tokenizer))
+        coder = remembered(("words", tokenizer, plain_specials), lambda: WordCoder(tokenizer, plain_specials=plain_specials))
         encode, end, most = coder.encode, np.asarray([end_id], "<u4").tobytes(), 4 * capacity
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
@@ -280,12 +281,12 @@ def assign(parts: DataFrame, capacity: int, length: str = "length") -> DataFrame
     return parts.join(base, ["_task", length]).select(*[f.name for f in others], at).mapInArrow(place, final)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, text: str = "text", keep_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, text: str = "text", keep_ids: bool = True, plain_specials: bool = True) -> DataFrame:
     """Pack every document of ``docs``; one row per piece with its sequence and offset."""
-    cut = pieces(docs, tokenizer, capacity, end_id, text, keep_ids, ranks=True)
+    cut = pieces(docs, tokenizer, capacity, end_id, text, keep_ids, ranks=True, plain_specials=plain_specials)
     return assign(Scratch(docs.sparkSession).keep(cut), capacity)
 
 
 def query(docs: DataFrame, tokenizer: str) -> DataFrame:
-    out = pack(docs.select("doc_id", "text"), tokenizer, keep_ids=False)
+    out = pack(docs.select("doc_id", "text"), tokenizer, keep_ids=False, plain_specials=False)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
