@@ -143,7 +143,7 @@ def tables(reps: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, row_key: str, text: str, width: int) -> DataFrame:
-    """``id`` and ``hashes``, the full set, of the rows named in ``ids`` (id, f1, f2)."""
+    """``id`` and ``hashes``, the full set, of the rows named in ``ids`` (id, f1, f2, c); ``id`` is the class number ``c``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -159,7 +159,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, row_key: str, text: str, width: int
                     if xxhash.xxh3_128_intdigest(s) == (f1 + (1 << 63) << 64 | f2 + (1 << 63)):
                         out.append(s)
                         keep.append(i)
-                yield pa.RecordBatch.from_pydict({"id": batch.column("id").take(pa.array(keep, pa.int64())), "hashes": pa.array(out, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"id": batch.column("c").take(pa.array(keep, pa.int64())), "hashes": pa.array(out, pa.binary())})
 
     named = docs.select(F.col(row_key).cast("long").alias("id"), text).join(ids, "id")
     return named.mapInArrow(run, "id long, hashes binary").dropDuplicates(["id"])
@@ -318,14 +318,15 @@ def near_duplicates(docs: DataFrame, row_key: str = "doc_id", text: str = "text"
     scratch = Scratch(spark)
     signed = scratch.keep(signatures(docs, row_key, text, width, m, k))
     named = signed.where("n_shingles > 0 and id is not null")
-    # Of equal sets the smallest id stands for all.
-    classes = scratch.keep(named.groupBy("f1", "f2").agg(F.min(F.struct("id", "keys")).alias("s")).select("f1", "f2", "s.id", "s.keys"))
-    found = scratch.keep(tables(classes))
+    # Of equal sets the smallest id stands for all. Ids may repeat over classes (several texts
+    # of one id), so a class has a number, which is its name until components are labelled.
+    classes = scratch.keep(named.groupBy("f1", "f2").agg(F.min(F.struct("id", "keys")).alias("s")).select("f1", "f2", "s.id", "s.keys", F.monotonically_increasing_id().alias("c")))
+    found = scratch.keep(tables(classes.select(F.col("c").alias("id"), "keys")))
     degree = found.groupBy("id").agg(F.sum(F.col("n") - 1).alias("degree"))
     buckets = scratch.keep(found.select("key", "id").join(degree, "id"))
     scratch.drop(found)
-    members = buckets.select("id").distinct()
-    sets = scratch.keep(sets_of(docs, classes.select("id", "f1", "f2").join(members, "id"), row_key, text, width))
+    members = buckets.select(F.col("id").alias("c")).distinct()
+    sets = scratch.keep(sets_of(docs, classes.select("id", "f1", "f2", "c").join(members, "c"), row_key, text, width))
     none = spark.createDataFrame([], "id long, root long")
     labels, tested = none, None
     for _ in range(_STARS):
@@ -342,7 +343,10 @@ def near_duplicates(docs: DataFrame, row_key: str = "doc_id", text: str = "text"
     # What the result does not read goes now.
     for done in (buckets, sets):
         scratch.drop(done)
-    # Ids may repeat over classes (several texts of one id); a class is named by its id.
+    # Classes of one id are kept or dropped together, so their components are one.
+    linked = classes.select("c", "id").join(labels.select(F.col("id").alias("c"), "root"), "c")
+    least = linked.groupBy("root").agg(F.min("id").alias("least"))
+    labels = components(linked.join(least, "root").select(F.col("id").alias("u"), F.col("least").alias("v")), scratch)
     merged = classes.select("f1", "f2", "id").join(labels, "id", "left").select("f1", "f2", F.coalesce("root", "id").alias("component_id"))
     out = signed.select("id", "n_shingles", "f1", "f2").join(merged, ["f1", "f2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
