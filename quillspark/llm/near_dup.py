@@ -36,7 +36,6 @@ _CACHE = 120_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
 _STARS = 2
-_FAMILY = 100_000_000
 _BLOCK_SETS = 1024
 _BLOCK_BYTES = 16 << 20
 
@@ -269,13 +268,12 @@ def _block_links(percent: int):
     return run
 
 
-def _apart(buckets: DataFrame, labels: DataFrame, tested: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _apart(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links (u, v) between groups that still share buckets.
 
     Groups that buckets connect form a family. A family's sets are compared in blocks: all
     but those of its largest group with every one of another group, so the work is what the
-    largest group leaves over times the family. A family whose product of the two passes
-    ``_FAMILY`` is compared pair by pair where buckets are shared instead.
+    largest group leaves over times the family. Larger families have more blocks.
     """
     b = scratch.keep(_mixed(buckets, labels))
     if b.isEmpty():
@@ -286,21 +284,13 @@ def _apart(buckets: DataFrame, labels: DataFrame, tested: DataFrame, sets: DataF
     groups = members.groupBy("family", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     families = scratch.keep(groups.groupBy("family").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "root", "bytes")).alias("major"))
                             .select("family", "n", F.col("major.root").alias("major"), (F.col("n") - F.col("major.n")).alias("m"), "bytes", (F.col("bytes") - F.col("major.bytes")).alias("m_bytes")))
-    small = families.where(F.col("n") * F.col("m") <= _FAMILY)
     parts = lambda n, size: F.greatest(F.ceil(F.col(n) / _BLOCK_SETS), F.ceil(F.col(size) / _BLOCK_BYTES), F.lit(1)).cast("int")
-    full = members.drop("bytes").join(small, "family").join(sets, "id").withColumn("p", parts("n", "bytes")).withColumn("q", parts("m", "m_bytes"))
+    full = members.drop("bytes").join(families, "family").join(sets, "id").withColumn("p", parts("n", "bytes")).withColumn("q", parts("m", "m_bytes"))
     spread = lambda df, own, other, c, d: df.withColumn(c, F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn(d, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("family", "x", "y", "id", "root", "hashes")
     few, many = spread(full.where("root <> major"), "q", "p", "x", "y"), spread(full, "p", "q", "y", "x")
     # New names, as both sides come from one table.
     many = many.toDF("f2", "x2", "y2", "id2", "root2", "hashes2")
-    links = few.groupBy("family", "x", "y").cogroup(many.groupBy("f2", "x2", "y2")).applyInPandas(_block_links(percent), "u long, v long")
-    large = families.where(F.col("n") * F.col("m") > _FAMILY)
-    if large.isEmpty():
-        return links
-    wide = b.join(members.join(large, "family").select("id").distinct(), "id")
-    other = wide.select("key", F.col("id").alias("u"), F.col("root").alias("other"))
-    pairs = _untested(wide.join(other, "key").where("u < id and root <> other").select("u", F.col("id").alias("v")).distinct(), tested)
-    return links.unionByName(confirmed(pairs, sets, percent).where("linked").select("u", "v"))
+    return few.groupBy("family", "x", "y").cogroup(many.groupBy("f2", "x2", "y2")).applyInPandas(_block_links(percent), "u long, v long")
 
 
 def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
@@ -337,7 +327,7 @@ def near_duplicates(docs: DataFrame, row_key: str = "doc_id", text: str = "text"
         if not checked.where("linked").isEmpty():
             labels = components(tested.where("linked"), scratch)
     if tested is not None:
-        links = scratch.keep(_apart(buckets, labels, tested, sets, percent, scratch))
+        links = scratch.keep(_apart(buckets, labels, sets, percent, scratch))
         if not links.isEmpty():
             labels = components(tested.where("linked").select("u", "v").unionByName(links), scratch)
     # What the result does not read goes now.
