@@ -350,7 +350,7 @@ def score_stats(spark, sf_dir):
 @register(_score_sql("bm25", {"this": 1, "with": 1}, _AND) + "SELECT rank, CAST(1 AS BIGINT) AS n_variations, true AS stable FROM (SELECT row_number() OVER (ORDER BY doc_id) AS rank FROM r) WHERE rank <= 5")
 def ranking_stability(spark, sf_dir):
     engine = SearchEngine(plain_index(spark, sf_dir), "bm25")
-    return validation.stability([engine.top("this with", 5) for _ in range(3)]).select("rank", F.size("variations").cast("long").alias("n_variations"), "stable")
+    return validation.stability([engine.top("this with", 5) for _ in range(10)]).select("rank", F.size("variations").cast("long").alias("n_variations"), "stable")
 
 
 # Golden scores of the ranking fixture to nine digits.
