@@ -37,14 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Intermediate tables in the shared folder: they cut lineage and outlive executors.
 
-    A table that is superseded is deleted with ``drop``; one that a returned, still lazy
-    DataFrame reads stays until the owner of the shared folder clears it.
+    A table that is superseded is deleted with ``drop`` or ``drop_all_but``; one that a
+    returned, still lazy DataFrame reads stays until the owner of the shared folder clears it.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/quillspark-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
+        self._kept: list[tuple[DataFrame, str]] = []
         self._n = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -52,15 +52,47 @@ class Scratch:
         path = f"{self.root}/{self._n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
+        self._kept.append((out, path))
         return out
 
-    def drop(self, df: DataFrame | None) -> None:
-        path = self._paths.pop(id(df), None)
-        if path is not None:
-            jvm = self.spark._jvm
+    def drop(self, *tables: DataFrame | None) -> None:
+        jvm = self.spark._jvm
+        for df, path in [x for x in self._kept if any(x[0] is t for t in tables)]:
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self._kept = [x for x in self._kept if x[1] != path]
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        self.drop(*[df for df, _ in self._kept if not any(df is t for t in tables)])
+
+
+class BoundedMemory(dict):
+    """Values by key, made when first asked for; what it holds is bounded.
+
+    Two generations of ``entries`` each: what is in use survives when the younger is full.
+    Keys longer than ``longest`` are never held, so that the bound in entries is one in
+    bytes, for values that grow with their keys.
+    """
+
+    def __init__(self, make, entries: int = 40_000, longest: int = 32):
+        super().__init__()
+        self.make, self.entries, self.longest = make, entries, longest
+        self.old: dict = {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > self.longest:
+                return value
+        self.hold(key, value)
+        return value
+
+    def hold(self, key, value) -> None:
+        if len(self) >= self.entries:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
 
 
 _slot: dict[object, object] = {}
@@ -78,6 +110,17 @@ def remembered(key: object, make):
     return _slot[key]
 
 
+def broadcast(spark: SparkSession, value: object, limit: int):
+    """Broadcast a value whose pickled size is proven to be at most ``limit`` bytes.
+
+    Workers read it as it is, so that no second copy of a model stays beside its pickle.
+    """
+    size = len(cloudpickle.dumps(value))
+    if size > limit:
+        raise ValueError(f"model of {size} bytes is over its broadcast bound of {limit}")
+    return spark.sparkContext.broadcast(value)
+
+
 def broadcast_bytes(spark: SparkSession, value: object, limit: int):
     """Broadcast a model whose pickled size is proven to be at most ``limit`` bytes."""
     data = cloudpickle.dumps(value)

@@ -9,12 +9,15 @@ shapes, each with a multiplicity. Every piece then finds its place from its leng
 rank among the pieces of that length, without any bin being gathered.
 
 Defined results: a null or empty text is a document of the end id alone; repeated rows are
-packed as often as they occur; an empty table gives no rows; further columns of the input
-are carried through unless they clash with an output column, which then wins.
+packed as often as they occur; a text of more than ``capacity`` ids is cut into full pieces
+and a rest; an empty table gives no rows; further columns of the input are carried through
+unless they clash with an output column, which then wins.
 """
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +26,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm._common import Scratch, broadcast_bytes, remembered
-
-_CACHE = 120_000
-_PLAN_LIMIT = 256 << 20
-
+from quillspark.llm._common import BoundedMemory, Scratch, broadcast, remembered
 
+_ENTRIES = 100_000  # remembered chunks a generation: at most 32 characters, so 0.5 kB each
+_PLAN_LIMIT = 32 << 20
 _MARKS = ".,;:!?#$%&*()"
+_ENDS = ".,;:!?"
+_PYTHON_SPACE = re.compile("[\x1c-\x1f]")
+# Letters in this range have one lower-case letter, whatever stands around them.
+_LOWERED = re.compile("[\x00-\u012f]*")
 
 
 def _byte_letters() -> list[str]:
@@ -39,6 +44,28 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)]
 
 
+_KINDS = bytes(ord("." if chr(b) in _ENDS else "a" if b > 127 or chr(b).isalnum() else " " if chr(b).isspace() else "#") for b in range(256))
+
+
+def _separated(text: str) -> str:
+    """The text with white space around sentence marks, if each of them stands alone.
+
+    A mark without another symbol at its side is a pre-token of its own, so white space
+    beside it changes no id, and words before marks are the words that stand alone. Texts up
+    to U+012F only.
+    """
+    raw = text.encode()
+    # Symbols above U+007F: those up to U+00BF, and the signs of multiplication and division.
+    if b"\xc2" in raw or b"\xc3\x97" in raw or b"\xc3\xb7" in raw:
+        return text
+    kinds = raw.translate(_KINDS)
+    if b".." in kinds or b".#" in kinds or b"#." in kinds:
+        return text
+    for mark in _ENDS:
+        text = text.replace(mark, f" {mark} ")
+    return text
+
+
 class WordCoder:
     """Ids of a text by the tokenizers library, remembering chunks between white space.
 
@@ -48,54 +75,58 @@ class WordCoder:
     names of special tokens as plain text; the library's default is their ids.
     """
 
-    def __init__(self, path: str, capacity: int = _CACHE, plain_specials: bool = True):
+    def __init__(self, path: str, entries: int = _ENTRIES, plain_specials: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_specials
-        self.merge = self.tokenizer.model.tokenize
-        self.letters = str.maketrans({b: c for b, c in enumerate(_byte_letters())})
-        coder = self
+        # What is remembered is remembered here; the model need not do so, too.
+        self.tokenizer.model._resize_cache(0)
+        merge = self.tokenizer.model.tokenize
+        letters = str.maketrans({b: c for b, c in enumerate(_byte_letters())})
+        whole = self.whole
 
-        class Seen(dict):
-            """Two generations: what is in use survives when the younger one is full."""
+        def plain(word: str) -> bytes:
+            # Normalised and one pre-token already: only the merges are left.
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(letters)
+            return array("I", [t.id for t in merge(word)]).tobytes()
 
-            old: dict[str, bytes] = {}
+        class Seen(BoundedMemory):
+            """A word has one entry in lower case, whatever marks follow it."""
 
             def __missing__(self, chunk: str) -> bytes:
-                out = self.old.get(chunk)
-                if out is None:
-                    out = coder._chunk(chunk)
-                if len(self) >= capacity:
-                    self.old = dict(self)
-                    self.clear()
-                self[chunk] = out
-                return out
-
-        self.seen = Seen()
-
-    def _chunk(self, chunk: str) -> bytes:
-        # A run of letters and a run of marks are pre-tokens of their own, so plain words in
-        # any case, whatever marks follow, share one entry. Below U+0130 letters are their
-        # own composed form and have one lower-case letter.
-        body = chunk.rstrip(_MARKS)
-        if body.isalpha() and max(body) < "İ":
-            low, marks = body.lower(), chunk[len(body) :]
-            if marks:
-                return self.seen[low] + self.seen[marks]
-            if low != chunk:
-                return self.seen[low]
-            # Normalised and one pre-token already: only the merges are left.
-            bytes_ = chunk.encode().decode("latin-1").translate(self.letters)
-            return np.asarray([t.id for t in self.merge(bytes_)], "<u4").tobytes()
-        return self.whole(chunk)
+                if len(chunk) > self.longest:
+                    return whole(chunk)
+                if not chunk.isalpha():
+                    # A run of letters and a run of marks are pre-tokens of their own.
+                    body = chunk.rstrip(_MARKS)
+                    if len(body) < len(chunk) and body.isalpha() and max(body) < "\u0130":
+                        return self[body] + self[chunk[len(body) :]]
+                    self.make = whole
+                elif chunk.islower() and chunk.isascii():
+                    self.make = plain
+                elif max(chunk) < "\u0130":
+                    # Below U+0130 letters are their own composed form and have one
+                    # lower-case letter.
+                    low = chunk.lower()
+                    if low != chunk:
+                        return self[low]
+                    self.make = plain
+                else:
+                    self.make = whole
+                return BoundedMemory.__missing__(self, chunk)
+
+        self.seen = Seen(plain, entries)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if _PYTHON_SPACE.search(text):
             return self.whole(text)
+        if "<|" not in text and _LOWERED.fullmatch(text):
+            text = _separated(text.lower())
         return b"".join(map(self.seen.__getitem__, text.split()))
 
 
@@ -172,20 +203,25 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tup
             have[at] -= n
             gap -= n * at
             at -= 1
+        needed = shape.copy()
         if gap and (pair := _two_for_one(have, gap, min(shape))):
-            smallest = min(shape)
-            shape[smallest] -= 1
+            shape[min(needed)] -= 1
             for x in pair:
                 shape[x] = shape.get(x, 0) + 1
+                needed[x] = needed.get(x, 0) + 1
         shape = {x: n for x, n in shape.items() if n}
-        times = min(int(left[x]) // n for x, n in shape.items())
+        # The next bin is decided alike while all that this one chose from is still there.
+        times = 1 + min((int(left[x]) - needed[x]) // n for x, n in shape.items())
         for x, n in shape.items():
             left[x] -= times * n
         bins.append((times, sorted(shape.items(), reverse=True)))
 
 
 def _two_for_one(have: np.ndarray, gap: int, smallest: int) -> tuple[int, int] | None:
-    """The two free lengths that fill ``gap + smallest`` best and better than ``smallest`` does."""
+    """The two free lengths that fill ``gap + smallest`` best and better than ``smallest`` does.
+
+    Of equally good pairs, that with the shortest piece.
+    """
     room = gap + smallest
     first = np.flatnonzero(have[: min(room, len(have))])
     first = first[first > 0]
@@ -254,15 +290,13 @@ def assign(parts: DataFrame, capacity: int, length: str = "length") -> DataFrame
     """
     by_task = parts.groupBy("_task", length).agg(F.count("*").alias("_n"))
     counts = {r[0]: r[1] for r in parts.groupBy(length).agg(F.count("*")).toLocalIterator()}
-    shared = broadcast_bytes(parts.sparkSession, _places(plan_bins(counts, capacity)), _PLAN_LIMIT)
+    shared = broadcast(parts.sparkSession, _places(plan_bins(counts, capacity)), _PLAN_LIMIT)
     before = Window.partitionBy(length).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     base = by_task.select("_task", length, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     others = [f for f in parts.schema.fields if f.name not in ("_task", "_nth", "sequence_id", "offset")]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import cloudpickle
-
-        places = cloudpickle.loads(shared.value)
+        places = shared.value
         for batch in batches:
             size, at = (batch.column(n).to_numpy(zero_copy_only=False) for n in (length, "_at"))
             sequence, offset = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
