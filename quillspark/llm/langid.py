@@ -1,17 +1,23 @@
 """Language identification by prediction by partial matching over bytes.
 
-For each language a context tree of order 0 to 3 is learned from labelled texts. Bytes are
-first mapped to at most 64 symbols: letters A-Z fold to a-z, digits, white space and other
-ASCII are one symbol each, the most frequent bytes above 127 have their own, the rest share
-one. A symbol costs -log2(c / (n + d)) where its context was seen n times with d different
-successors, c times this one; an unseen successor costs an escape, -log2(d / (n + d)), and
-is coded in the next shorter context, down to the uniform distribution. (Symbols already
-ruled out by an escape are not excluded, so that the length of a text is an exact sum of
-frozen table entries.) The language with the shortest code wins.
+For each language a context tree over all 256 byte values is learned from labelled texts. Its
+order varies: a context of up to ``order`` bytes is a node if it was seen often enough, so
+frequent contexts are long and rare ones short. A byte costs -log2(c / (n + d)) where its
+longest context was seen n times with d different successors, c times this one; an unseen
+successor costs an escape, -log2(d / (n + d)), and is coded in the next shorter context, down
+to the uniform distribution over bytes. (Bytes already ruled out by an escape are not
+excluded, so that the length of a text is an exact sum of frozen table entries.) The language
+with the shortest code wins; its score is its share under a softmax of the code lengths, whose
+temperature is fitted on documents kept apart from the trees.
+
+Counting, merging and pruning run on executors; the driver gets the finished nodes, whose
+size ``model_bytes`` bounds: if they would be larger, contexts must have been seen more often.
+More than ``most_languages`` distinct labels raise a ValueError.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; if nothing
-could be learned every text is ``und``; ties go to the first language by name; repeated rows
-give repeated results; other columns pass through, clashing ones are replaced.
+could be learned (no rows, no labels) every text is ``und``; ties go to the first language by
+name; repeated rows give repeated results; very long texts are scored whole, piece by piece;
+an empty table gives no rows; other columns pass through, clashing ones are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,92 +33,182 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm._common import broadcast_bytes, remembered
+from quillspark.llm._common import Scratch, broadcast, remembered
 
-BITS = 6
-SYMBOLS = 1 << BITS
-_PAD = 27  # white space stands before a text
-_MODEL_LIMIT = 512 << 20
-_LANGUAGES_LIMIT = 1000
-_CHUNK = 1 << 20
+ORDER = 4
+_PAD = b" "  # stands before a text
+_CHUNK = 1 << 17
+_MODEL_LIMIT = 64 << 20
 _LETTER = re.compile(r"[^\W\d_]")
+_TEMPERATURES = np.geomspace(0.5, 64, 43)
 
 
 @dataclass
 class Model:
+    """Nodes are the byte strings in any tree, numbered from 1, by length; 0 is no node."""
+
     languages: list[str]
-    symbol: np.ndarray  # of each byte
-    keys: np.ndarray  # codes of the 4-symbol strings with a row of costs
-    rows: np.ndarray  # their costs by language
-    escape: np.ndarray  # what an unseen successor of a 3-symbol context costs
-    shorter: np.ndarray  # costs of all 3-symbol strings, escapes below them included
-
-    def table(self) -> np.ndarray:
-        """Row number by 4-symbol code; the last row number stands for a code without one."""
-        out = np.zeros(1 << 4 * BITS, np.int32)
-        out[self.keys] = np.arange(1, len(self.keys) + 1)
+    order: int
+    first: np.ndarray  # node of each byte
+    slots: np.ndarray  # hash table of 256 * parent + byte
+    child: np.ndarray  # its node at each slot
+    cost: np.ndarray  # by node and language: of its last byte after the others, in bits
+    escape: np.ndarray  # by node short enough to be a context
+    temperature: float = 5.0
+    mask: int = field(init=False)
+
+    def __post_init__(self):
+        self.mask = len(self.slots) - 1
+
+
+def _hashed(keys: np.ndarray, mask: int) -> np.ndarray:
+    return ((keys * np.int64(-7046029254386353131)) >> np.int64(20)) & np.int64(mask)
+
+
+def _table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An open hash table with linear probing, half full at most."""
+    size = 1 << max(4, (2 * len(keys)).bit_length())
+    slots, out = np.full(size, -1, np.int64), np.zeros(size, np.int32)
+    left, at = np.arange(len(keys)), _hashed(keys, size - 1)
+    while len(left):
+        free = slots[at] < 0
+        slots[at[free]] = keys[left[free]]
+        placed = slots[at] == keys[left]
+        out[at[placed]] = values[left[placed]]
+        left, at = left[~placed], (at[~placed] + 1) & (size - 1)
+    return slots, out
+
+
+def build(languages: list[str], grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], order: int) -> Model:
+    """A model from ``grams``: by length 1 to ``order`` + 1 the codes, languages and counts of the nodes.
+
+    A code is the string as a big-endian integer. Every node's string without its first byte
+    is a node of the same language, too, and so is its string without the last.
+    """
+    n_lang = len(languages)
+    first = np.zeros(256, np.int32)
+    costs, escapes, keys, values = [], [], [], []
+    number, shorter, context_of = 1, None, None  # of the next node; of the strings one byte shorter
+    for length in range(1, order + 2):
+        codes, lang, n = grams.get(length, (np.zeros(0, np.int64),) * 3)
+        mine, at = np.unique(codes.astype(np.int64), return_inverse=True)
+        count = np.zeros((len(mine), n_lang))
+        count[at, lang.astype(np.int64)] = n
+        if length == 1:
+            parents, prefix, below = 1, np.zeros(len(mine), np.int64), np.full((len(mine), n_lang), 8.0)
+            first[mine] = number + np.arange(len(mine))
+        else:
+            parents, prefix = len(context_of), np.searchsorted(context_of, mine >> 8)
+            below = shorter[np.searchsorted(context_of, mine & ((1 << 8 * (length - 1)) - 1))]
+            keys.append((number - parents + prefix) * 256 + (mine & 255))
+            values.append(number + np.arange(len(mine)))
+        seen, kinds = np.zeros((parents, n_lang)), np.zeros((parents, n_lang))
+        np.add.at(seen, prefix, count)
+        np.add.at(kinds, prefix, count > 0)
+        whole = np.log2(np.maximum(seen + kinds, 1))
+        escape = np.where(kinds > 0, whole - np.log2(np.maximum(kinds, 1)), 0)
+        with np.errstate(divide="ignore"):
+            cost = np.where(count > 0, whole[prefix] - np.log2(count), escape[prefix] + below)
+        if length == 1:
+            costs.append(escape + 8.0)  # of a byte that no language has
+            escapes.append(np.zeros((1, n_lang)))
+        else:
+            escapes.append(escape)
+        costs.append(cost)
+        number, shorter, context_of = number + len(mine), cost, mine
+    slots, child = _table(np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *values]))
+    return Model(languages, order, first, slots, child, np.vstack(costs).astype(np.float32), np.vstack(escapes).astype(np.float32))
+
+
+def _segments(raw: list[bytes], order: int) -> Iterator[tuple[int, bytes]]:
+    """Texts in pieces of bounded size: its number, and the piece with the ``order`` bytes before it."""
+    for i, b in enumerate(raw):
+        for lo in range(0, len(b), _CHUNK):
+            before = b[lo - order : lo] if lo >= order else _PAD * (order - lo) + b[:lo]
+            yield i, before + b[lo : lo + _CHUNK]
+
+
+def _grouped(segments: Iterator[tuple[int, bytes]]) -> Iterator[list[tuple[int, bytes]]]:
+    group, size = [], 0
+    for s in segments:
+        group.append(s)
+        size += len(s[1])
+        if size >= _CHUNK:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def _raw(column: pa.Array) -> list[bytes]:
+    """UTF-8 of every text; nothing for a null."""
+    return [b or b"" for b in column.cast(pa.large_string()).cast(pa.large_binary()).to_pylist()]
+
+
+class Scorer:
+    def __init__(self, model: Model):
+        self.m = model
+
+    def _children(self, keys: np.ndarray) -> np.ndarray:
+        m = self.m
+        at = _hashed(keys, m.mask)
+        found = m.slots[at]
+        out = np.where(found == keys, m.child[at], 0)
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        at = at[open_]
+        while len(open_):
+            at = (at + 1) & m.mask
+            found, wanted = m.slots[at], keys[open_]
+            hit = found == wanted
+            out[open_[hit]] = m.child[at[hit]]
+            go_on = ~hit & (found >= 0)
+            open_, at = open_[go_on], at[go_on]
         return out
 
+    def _costs(self, data: np.ndarray) -> np.ndarray:
+        """Bits of each byte under each language, after the bytes before it."""
+        m = self.m
+        node = m.first[data]  # of the string of the length so far that ends here
+        longest = node.copy()
+        escapes = []
+        for _ in range(m.order):
+            at = np.flatnonzero(node[:-1]) + 1
+            context = node[at - 1]
+            child = self._children(context.astype(np.int64) * 256 + data[at])
+            none = child == 0
+            escapes.append((at[none], context[none]))
+            node = np.zeros_like(node)
+            node[at] = child
+            longest[at[~none]] = child[~none]
+        cost = m.cost[longest]
+        for at, context in escapes:
+            cost[at] += m.escape[context]
+        return cost
+
+    def bits(self, raw: list[bytes]) -> np.ndarray:
+        """Code lengths in bits of every text under every language."""
+        order = self.m.order
+        out = np.zeros((len(raw), len(self.m.languages)))
+        for group in _grouped(_segments(raw, order)):
+            ends = np.cumsum([len(b) for _, b in group])
+            starts = np.r_[0, ends[:-1]] + order
+            cost = self._costs(np.frombuffer(b"".join(b for _, b in group), np.uint8))
+            # From each start to its end, and from there to the next start, which is left out.
+            bounds = np.column_stack((starts, ends)).ravel()[:-1]
+            np.add.at(out, [i for i, _ in group], np.add.reduceat(cost, bounds, axis=0, dtype=np.float64)[::2])
+        return out
 
-def byte_symbols(frequent: list[int]) -> np.ndarray:
-    """Symbols of the 256 bytes, given the bytes over 127 that get their own."""
-    out = np.full(256, 29, np.int32)
-    out[48:58] = 28
-    out[[32, *range(9, 14)]] = _PAD
-    for i in range(26):
-        out[65 + i] = out[97 + i] = i
-    out[128:] = 30
-    for i, b in enumerate(sorted(frequent)[: SYMBOLS - 31]):
-        out[b] = 31 + i
-    return out
-
-
-def codes_of(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The code of each symbol with the three before it; texts begin at ``starts``."""
-    total = len(symbols)
-    code = symbols.astype(np.int32)
-    for back in (1, 2, 3):
-        shifted = np.full(total, _PAD, np.int32)
-        shifted[back:] = symbols[:-back] if back < total else symbols[:0]
-        for k in range(back):
-            at = starts + k
-            shifted[at[at < total]] = _PAD
-        code += shifted << back * BITS
-    return code
-
-
-def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts of a string column end to end, and where each begins, with the end."""
-    column = column.cast(pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
-def learn(df: DataFrame, text: str = "text", lang: str = "lang", row_key: str = "doc_id", rows_per_language: int = 4000) -> Model:
-    """Fit the context trees on about ``rows_per_language`` whole texts of each language.
-
-    That bound of the sample is what bounds the statistics that reach the driver. The rows
-    are taken by a hash of their key, alike from every part of the table.
-    """
-    df = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(row_key).alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in df.groupBy("lang").agg(F.count("*").alias("n")).limit(_LANGUAGES_LIMIT + 1).collect()}
-    if len(sizes) > _LANGUAGES_LIMIT:
-        raise ValueError(f"more than {_LANGUAGES_LIMIT} languages")
-    if not sizes:
-        return build([], np.zeros(0, np.int64), np.zeros((0, 0)), byte_symbols([]))
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, rows_per_language / n)))])
-    drawn = F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20)
-    sample = df.where(drawn).select("text", "lang")
-    frequent = sample.mapInArrow(_count_bytes, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).collect()
-    symbol = byte_symbols([r["b"] for r in sorted(frequent, key=lambda r: (-r["n"], r["b"]))[: SYMBOLS - 31]])
-    languages = sorted(sizes)
-    counted = sample.mapInArrow(_counter(symbol), "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    keys, at = np.unique(counted["code"].to_numpy(np.int64), return_inverse=True)
-    counts = np.zeros((len(keys), len(languages)))
-    counts[at, np.searchsorted(languages, counted["lang"].to_numpy(str))] = counted["n"]
-    return build(languages, keys, counts, symbol)
+    def predict(self, column: pa.Array) -> tuple[list[str], list[float]]:
+        m = self.m
+        texts = column.to_pylist()
+        able = [bool(t and m.languages and _LETTER.search(t)) for t in texts]
+        bits = self.bits([b if ok else b"" for b, ok in zip(_raw(column), able)])
+        names, scores = ["und"] * len(texts), [0.0] * len(texts)
+        for i in np.flatnonzero(able):
+            best = int(bits[i].argmin())
+            names[i] = m.languages[best]
+            scores[i] = float(1 / np.exp2(np.maximum((bits[i, best] - bits[i]) / m.temperature, -1000)).sum())
+        return names, scores
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -121,134 +217,117 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def _count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = np.zeros(256, np.int64)
-    for batch in _slices(batches):
-        data = _texts(batch.column("text"))[0]
-        for lo in range(0, len(data), _CHUNK):
-            n += np.bincount(data[lo : lo + _CHUNK], minlength=256)
-    high = np.flatnonzero(n[128:]) + 128
-    yield pa.RecordBatch.from_pydict({"b": high.astype(np.int32), "n": n[high]})
-
-
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
     return codes, np.bincount(at, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
 
 
-def _counter(symbol: np.ndarray):
+def _counter(order: int):
+    """Counts of the strings of ``order`` + 1 bytes, by language.
+
+    ``order`` pad bytes count as the beginning of a text, and as many stand before them, so
+    that every byte has a full string and shorter strings are suffixes of those.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # By language: pairs of distinct codes and counts, summed up now and then.
-        totals: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        totals: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in _slices(batches):
-            langs = np.asarray(batch.column("lang").to_pylist(), object)
-            for one in set(langs):
-                data, offsets = _texts(batch.column("text").filter(pa.array(langs == one)))
+            langs = batch.column("lang").to_numpy()
+            for one in set(langs.tolist()):
                 mine = totals.setdefault(one, [])
-                for lo in range(0, len(data), _CHUNK):
-                    first = max(0, lo - 3)
-                    starts = offsets[(offsets >= first) & (offsets < lo + _CHUNK)] - first
-                    codes = codes_of(symbol[data[first : lo + _CHUNK]], starts)[lo - first :]
-                    mine.append(np.unique(codes, return_counts=True))
-                if len(mine) >= 32:
-                    totals[one] = [_summed(mine)]
+                texts = _raw(batch.column("text").filter(pa.array(langs == one)))
+                for group in _grouped(_segments([_PAD * order + b for b in texts if b], order)):
+                    data = np.frombuffer(b"".join(b for _, b in group), np.uint8).astype(np.int64)
+                    code = np.zeros(len(data), np.int64)
+                    for back in range(order + 1):
+                        code[back:] |= data[: len(data) - back] << 8 * back
+                    counted = np.ones(len(data), bool)
+                    starts = np.cumsum([0, *(len(b) for _, b in group[:-1])])
+                    for k in range(order):
+                        counted[starts + k] = False
+                    mine.append(np.unique(code[counted], return_counts=True))
+                    if len(mine) >= 32:
+                        mine[:] = [_summed(mine)]
         for one, parts in totals.items():
             if parts:
                 codes, n = _summed(parts)
-                yield pa.RecordBatch.from_pydict({"lang": [one] * len(codes), "code": codes.astype(np.int32), "n": n})
+                yield pa.RecordBatch.from_pydict({"lang": np.full(len(codes), one, np.int32), "code": codes, "n": n})
 
     return run
 
 
-def build(languages: list[str], keys: np.ndarray, counts: np.ndarray, symbol: np.ndarray) -> Model:
-    """Costs from the counts of 4-symbol strings; counts of shorter ones are their sums."""
-    n_lang = len(languages)
-    if not n_lang:
-        none = np.zeros((1 << 3 * BITS, 0), np.float32)
-        return Model([], symbol, keys, none[:0], none, none)
-    counts = counts.reshape(len(keys), n_lang)
-    costs = np.full((1, n_lang), BITS, np.float64)  # the uniform distribution
-    for order in range(3):
-        codes = keys & (1 << (order + 1) * BITS) - 1
-        have = np.zeros((1 << (order + 1) * BITS, n_lang))
-        np.add.at(have, codes, counts)
-        by_context = have.reshape(-1, SYMBOLS, n_lang)
-        seen, kinds = by_context.sum(1), (by_context > 0).sum(1)
-        whole = np.log2(np.maximum(seen + kinds, 1))
-        escape = np.where(kinds > 0, whole - np.log2(np.maximum(kinds, 1)), 0)
-        base = costs.reshape(-1, SYMBOLS, n_lang) if order else np.broadcast_to(costs, (SYMBOLS, n_lang))[None]
-        # What follows an escape is coded without the first symbol of the context.
-        below = np.tile(base, (SYMBOLS, 1, 1)).reshape(-1, SYMBOLS, n_lang) if order else base
-        with np.errstate(divide="ignore"):
-            known = whole[:, None] - np.log2(by_context)
-        costs = np.where(by_context > 0, known, escape[:, None] + below).reshape(-1, n_lang)
-    contexts = np.zeros((1 << 3 * BITS, n_lang))
-    kinds = np.zeros_like(contexts)
-    np.add.at(contexts, keys >> BITS, counts)
-    np.add.at(kinds, keys >> BITS, counts > 0)
-    whole = np.log2(np.maximum(contexts + kinds, 1))
-    escape = np.where(kinds > 0, whole - np.log2(np.maximum(kinds, 1)), 0)
-    with np.errstate(divide="ignore"):
-        known = whole[keys >> BITS] - np.log2(counts)
-    rows = np.where(counts > 0, known, escape[keys >> BITS] + costs[keys & (1 << 3 * BITS) - 1])
-    return Model(languages, symbol, keys, rows.astype(np.float32), escape.astype(np.float32), costs.astype(np.float32))
+def _nodes(sample: DataFrame, order: int, least_seen: int) -> DataFrame:
+    """Strings that are nodes: lang, length, code, n, and how often the string before the last byte was seen."""
+    longest = sample.mapInArrow(_counter(order), "lang int, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    lengths = longest.select("lang", "n", "code", F.explode(F.sequence(F.lit(1), F.lit(order + 1))).alias("length"))
+    code = F.expr("code & (shiftleft(1L, 8 * length) - 1L)")
+    grams = lengths.groupBy("lang", "length", code.alias("code")).agg(F.sum("n").alias("n"))
+    often = grams.where((F.col("n") >= least_seen) & (F.col("length") <= order)).select("lang", (F.col("length") + 1).alias("length"), F.col("code").alias("before"), F.col("n").alias("seen"))
+    longer = grams.where("length > 1").withColumn("before", F.shiftright("code", 8)).join(often, ["lang", "length", "before"])
+    return grams.where("length = 1").select("lang", "length", "code", "n", F.lit(None).cast("long").alias("seen")).unionByName(longer.drop("before"))
 
 
-class Scorer:
-    def __init__(self, model: Model):
-        self.model = model
-        self.table = model.table()
-        self.rows = np.vstack([np.zeros((1, len(model.languages)), np.float32), model.rows])
+def learn(df: DataFrame, text: str = "text", lang: str = "lang", row_key: str = "doc_id", rows_per_language: int = 4000, order: int = ORDER, least_seen: int = 4, model_bytes: int = 48 << 20, most_languages: int = 1000) -> Model:
+    """Fit trees and temperature on about ``rows_per_language`` whole texts of each language.
 
-    def bits(self, column: pa.Array) -> np.ndarray:
-        """Code lengths in bits of every text under every language."""
-        m = self.model
-        data, offsets = _texts(column)
-        out = np.zeros((len(column), len(m.languages)))
-        filled = np.flatnonzero(np.diff(offsets))
-        ends = offsets[filled + 1]
-        for lo in range(0, len(data), _CHUNK):
-            hi = min(len(data), lo + _CHUNK)
-            # The three symbols before the chunk are context; what they cost is cut off.
-            first = max(0, lo - 3)
-            starts = offsets[(offsets >= first) & (offsets < hi)] - first
-            code = codes_of(m.symbol[data[first:hi]], starts)[lo - first :]
-            at = self.table[code]
-            cost = self.rows[at]
-            new = np.flatnonzero(at == 0)
-            cost[new] = m.escape[code[new] >> BITS] + m.shorter[code[new] & (1 << 3 * BITS) - 1]
-            k0, k1 = np.searchsorted(ends, lo, side="right"), np.searchsorted(ends, hi, side="left") + 1
-            docs = filled[k0:k1]
-            if len(docs):
-                out[docs] += np.add.reduceat(cost, np.maximum(offsets[docs] - lo, 0), axis=0, dtype=np.float64)
-        return out
+    The rows are taken by a hash of their key, alike from every part of the table; an eighth
+    of them is kept apart for the temperature.
+    """
+    spark = df.sparkSession
+    df = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(row_key).alias("k"), F.col(text).alias("text"), F.col(lang).alias("name"))
+    sizes = {r["name"]: r["n"] for r in df.groupBy("name").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    languages = sorted(sizes)
+    if not languages:
+        return build([], {}, order)
+    of = F.create_map(*[x for i, k in enumerate(languages) for x in (F.lit(k), F.struct(F.lit(i).alias("lang"), F.lit(min(1.0, rows_per_language / sizes[k])).alias("share")))])
+    drawn = df.withColumn("of", F.element_at(of, F.col("name"))).where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < F.col("of.share") * (1 << 20))
+    apart = F.pmod(F.xxhash64(F.lit(1), "k"), F.lit(8)) == 0
+    sample = drawn.select("text", "of.lang", apart.alias("apart"))
+    scratch = Scratch(spark)
+    nodes = scratch.keep(_nodes(sample.where("not apart").select("text", "lang"), order, least_seen))
+    # A node has a cost for every language, an escape if it can be a context, and up to four slots.
+    room = min(model_bytes, _MODEL_LIMIT) // (8 * len(languages) + 48)
+    by_seen = nodes.where("length > 1").groupBy(F.floor(F.log2("seen")).alias("k")).agg(F.count("*").alias("n")).collect()
+    level = max([0, *(r["k"] + 1 for r in by_seen if sum(x["n"] for x in by_seen if x["k"] >= r["k"]) > room)])
+    got = nodes.where((F.col("length") == 1) | (F.col("seen") >= max(least_seen, 1 << level if level else 0))).select("lang", "length", "code", "n").toArrow()
+    scratch.drop(nodes)
+    lengths, code, mine, n = (got.column(c).to_numpy() for c in ("length", "code", "lang", "n"))
+    model = build(languages, {k: (code[lengths == k], mine[lengths == k], n[lengths == k]) for k in range(1, order + 2)}, order)
+    model.temperature = _temperature(sample.where("apart"), model)
+    return model
+
+
+def _temperature(labelled: DataFrame, model: Model) -> float:
+    """The one that makes the labels of documents kept apart most probable; the default without any."""
+    shared, key = broadcast(labelled.sparkSession, model, _MODEL_LIMIT), uuid.uuid4().hex
 
-    def predict(self, column: pa.Array) -> tuple[list[str], list[float]]:
-        names, scores = [], []
-        for text, bits in zip(column.to_pylist(), self.bits(column)):
-            if not text or not len(bits) or not _LETTER.search(text):
-                names.append("und")
-                scores.append(0.0)
-                continue
-            best = int(bits.argmin())
-            # Code lengths of neighbouring symbols are not independent: a fifth of the
-            # difference serves as the log odds.
-            names.append(self.model.languages[best])
-            scores.append(float(1 / np.exp2(np.maximum((bits[best] - bits) / 5, -1000)).sum()))
-        return names, scores
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = remembered(key, lambda: Scorer(shared.value))
+        loss = np.zeros(len(_TEMPERATURES))
+        for batch in _slices(batches):
+            bits, lang = scorer.bits(_raw(batch.column("text"))), batch.column("lang").to_numpy()
+            bits -= bits.min(1, keepdims=True)
+            own = bits[np.arange(len(bits)), lang]
+            for k, t in enumerate(_TEMPERATURES):
+                loss[k] += (own / t + np.log2(np.exp2(-np.minimum(bits / t, 1000)).sum(1))).sum()
+            yield pa.RecordBatch.from_pydict({"k": np.arange(len(loss), dtype=np.int32), "loss": loss})
+            loss = np.zeros(len(_TEMPERATURES))
+
+    losses = labelled.select("text", "lang").mapInArrow(run, "k int, loss double").groupBy("k").agg(F.sum("loss").alias("loss")).collect()
+    shared.unpersist()
+    return float(_TEMPERATURES[min(losses, key=lambda r: (round(r["loss"], 6), r["k"]))["k"]]) if losses else model.temperature
 
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score`` for each row's whole text."""
-    shared = broadcast_bytes(df.sparkSession, model, _MODEL_LIMIT)
-    key = uuid.uuid4().hex
+    shared, key = broadcast(df.sparkSession, model, _MODEL_LIMIT), uuid.uuid4().hex
     others = [f for f in df.schema.fields if f.name not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import cloudpickle
-
-        scorer = remembered(key, lambda: Scorer(cloudpickle.loads(shared.value)))
-        for batch in _slices(batches, 512):
+        scorer = remembered(key, lambda: Scorer(shared.value))
+        for batch in _slices(batches):
             names, scores = scorer.predict(batch.column(text))
             yield pa.RecordBatch.from_pydict({f.name: batch.column(f.name) for f in others} | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
 
