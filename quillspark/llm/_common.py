@@ -121,14 +121,6 @@ def broadcast(spark: SparkSession, value: object, limit: int):
     return spark.sparkContext.broadcast(value)
 
 
-def broadcast_bytes(spark: SparkSession, value: object, limit: int):
-    """Broadcast a model whose pickled size is proven to be at most ``limit`` bytes."""
-    data = cloudpickle.dumps(value)
-    if len(data) > limit:
-        raise ValueError(f"model of {len(data)} bytes is over its broadcast bound of {limit}")
-    return spark.sparkContext.broadcast(data)
-
-
 def running_offsets(counts: DataFrame, bucket: str, count: str, by: list[str], block: int = 512) -> DataFrame:
     """Add ``before``: the sum of ``count`` over smaller buckets of the same ``by`` group.
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm._common import broadcast_bytes
+from quillspark.llm._common import broadcast
 
 UNKNOWN = "unknown"
 WINDOW = 48
@@ -297,14 +297,12 @@ _FIELDS = [("paragraph", T.IntegerType()), ("start", T.IntegerType()), ("end", T
 
 def scan(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """One row per finding: the columns of ``df`` but the text, and what was found where."""
-    shared = broadcast_bytes(df.sparkSession, model, _MODEL_LIMIT)
+    shared = broadcast(df.sparkSession, model, _MODEL_LIMIT)
     names = {n for n, _ in _FIELDS} | {text}
     others = [f for f in df.schema.fields if f.name not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import cloudpickle
-
-        scanner = Scanner(cloudpickle.loads(shared.value))
+        scanner = Scanner(shared.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
