@@ -12,13 +12,16 @@ out before tables are formed. Inside a table bucket sets are compared with a cen
 set that meets most others, and then only across groups that are not yet connected: with
 further centres, in the end in blocks of sets, so that no possible link stays untested
 between different groups and no pair is tested inside one. Every link is confirmed on the
-full sets. Components come from hooking and pointer jumping on tables in the shared folder.
+full sets. A centre's comparisons are dealt to parts of bounded size, each of which gets the
+centre's set once; blocks hold a bounded number of sets, however large a group of copies is.
+Components come from hooking and pointer jumping on tables in the shared folder.
 
 Defined results: a document without words has an empty set and is linked with nothing; with
-fewer than ``width`` words its whole word sequence is its one shingle; rows of one id are
-separate documents of that name, equal ones share their component and all are its smallest
-id or none is; a row without an id has no component and is kept; an empty table gives no
-rows. Only id and text are read; other columns do not matter.
+fewer than ``width`` words its whole word sequence is its one shingle; very long texts are
+read whole; rows of one id are separate documents of that name, which keep all their links
+but share one component, and all are its smallest id or none is; a row without an id has no
+component and is kept; ids are integers, and others that cannot be cast to one raise Spark's
+error; an empty table gives no rows. Only id and text are read; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -30,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import Scratch
+from quillspark.llm._common import BoundedMemory, Scratch
 
-_CACHE = 120_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
 _STARS = 2
-_BLOCK_SETS = 1024
-_BLOCK_BYTES = 16 << 20
+_PART_ROWS = 64  # comparisons that share one copy of a centre's set
+_BLOCK_SETS = 128
+_BLOCK_BYTES = 2 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -54,16 +57,7 @@ class Shingler:
         import xxhash
 
         self.width = width
-        digest = xxhash.xxh3_64_intdigest
-
-        class Seen(dict):
-            def __missing__(self, word: bytes) -> int:
-                if len(self) >= _CACHE:
-                    self.clear()
-                out = self[word] = digest(word)
-                return out
-
-        self.seen = Seen()
+        self.seen = BoundedMemory(xxhash.xxh3_64_intdigest)
 
     def __call__(self, text: str | None) -> np.ndarray:
         # bytes.split() parts at exactly the white space of the contract.
@@ -112,9 +106,9 @@ def signatures(docs: DataFrame, row_key: str, text: str, width: int, m: int, k:
                     high.append((h >> 64) - (1 << 63))
                     low.append((h & (1 << 64) - 1) - (1 << 63))
                     keys.append(partial_keys(s, family, m, k).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_pydict({"id": batch.column(0).cast(pa.int64()), "n_shingles": pa.array(sizes, pa.int64()), "f1": pa.array(high, pa.int64()), "f2": pa.array(low, pa.int64()), "keys": pa.array(keys, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n_shingles": pa.array(sizes, pa.int64()), "f1": pa.array(high, pa.int64()), "f2": pa.array(low, pa.int64()), "keys": pa.array(keys, pa.binary())})
 
-    return docs.select(row_key, text).mapInArrow(run, "id long, n_shingles long, f1 long, f2 long, keys binary")
+    return docs.select(F.col(row_key).cast("long").alias("id"), text).mapInArrow(run, "id long, n_shingles long, f1 long, f2 long, keys binary")
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +135,7 @@ def tables(reps: DataFrame) -> DataFrame:
     return _shared(crossed.select("id", F.xxhash64("x", "y").alias("key")))
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, row_key: str, text: str, width: int) -> DataFrame:
+def sets_of(docs: DataFrame, ids: DataFrame, row_key: str, text: str, width: int, scratch: Scratch) -> DataFrame:
     """``id`` and ``hashes``, the full set, of the rows named in ``ids`` (id, f1, f2, c); ``id`` is the class number ``c``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,32 +155,59 @@ def sets_of(docs: DataFrame, ids: DataFrame, row_key: str, text: str, width: int
                 yield pa.RecordBatch.from_pydict({"id": batch.column("c").take(pa.array(keep, pa.int64())), "hashes": pa.array(out, pa.binary())})
 
     named = docs.select(F.col(row_key).cast("long").alias("id"), text).join(ids, "id")
-    return named.mapInArrow(run, "id long, hashes binary").dropDuplicates(["id"])
+    sets = scratch.keep(named.mapInArrow(run, "id long, hashes binary"))
+    # Only wholly repeated rows give a set twice; without any, no set moves again.
+    if sets.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return sets
+    once = scratch.keep(sets.dropDuplicates(["id"]))
+    scratch.drop(sets)
+    return once
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")  # merges the two sorted runs
+    return int((both[1:] == both[:-1]).sum())
 
 
 def _confirmer(percent: int):
+    """For rows sorted by (u, part) with the centre's row (no v) first: whether v is linked with u."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = np.zeros(0, _U)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                linked = []
-                for a, b in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist()):
-                    x, y = np.frombuffer(a, _U), np.frombuffer(b, _U)
-                    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                        linked.append(False)
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                us, vs, linked = [], [], []
+                for u, v, h in zip(*(batch.column(n).to_pylist() for n in ("u", "v", "hashes"))):
+                    y = np.frombuffer(h, _U)
+                    if v is None:
+                        centre = y
                         continue
-                    both = np.concatenate((x, y))
-                    both.sort(kind="stable")  # merges the two sorted runs
-                    common = int((both[1:] == both[:-1]).sum())
-                    linked.append(100 * common >= percent * (len(both) - common))
-                yield pa.RecordBatch.from_pydict({"u": batch.column("u"), "v": batch.column("v"), "linked": pa.array(linked, pa.bool_())})
+                    us.append(u)
+                    vs.append(v)
+                    if 100 * min(len(centre), len(y)) < percent * max(len(centre), len(y)):
+                        linked.append(False)
+                    else:
+                        n = _common(centre, y)
+                        linked.append(100 * n >= percent * (len(centre) + len(y) - n))
+                yield pa.RecordBatch.from_pydict({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64()), "linked": pa.array(linked, pa.bool_())})
 
     return run
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Add ``linked`` to pairs (u, v), by intersection and union of the full sets."""
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("s")), "u").join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("t")), "v")
+    """Add ``linked`` to distinct pairs (u, v), by intersection and union of the full sets.
+
+    The pairs of a frequent u are dealt to parts; its set goes to each part once, before the
+    sets of the part's v, so that a task holds one set besides the row at hand.
+    """
+    degree = pairs.groupBy("u").agg(F.ceil(F.count("*") / _PART_ROWS).cast("int").alias("parts"))
+    dealt = pairs.join(degree, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"))
+    rows = dealt.join(sets.select(F.col("id").alias("v"), "hashes"), "v").select("u", "part", "v", "hashes")
+    parts = degree.select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    centres = parts.join(sets.select(F.col("id").alias("u"), "hashes"), "u").select("u", "part", F.lit(None).cast("long").alias("v"), "hashes")
+    both = rows.unionByName(centres).repartition("u", "part").sortWithinPartitions("u", "part", F.asc_nulls_first("v"))
     return both.mapInArrow(_confirmer(percent), "u long, v long, linked boolean")
 
 
@@ -240,30 +261,47 @@ def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return b.join(least, "key")
 
 
+def _links(few: list[tuple], many: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
+    """All links between sets (id, root, hashes) of two blocks with different roots."""
+    if not few or not many:
+        return
+    sets = [np.frombuffer(h, _U) for _, _, h in many]
+    sizes, ids, roots = np.asarray([len(x) for x in sets]), np.asarray([x[0] for x in many]), np.asarray([x[1] for x in many])
+    # One inverted list of the block's hashes: a set's own hashes differ, so it meets each entry once at most.
+    hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    for i, root, h in few:
+        own = np.frombuffer(h, _U)
+        able = (roots != root) & (100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own)))
+        if not able.any():
+            continue
+        lo, hi = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        common = np.bincount(owner[at], minlength=len(sets))
+        for j in ids[able & (100 * common >= percent * (sizes + len(own) - common))]:
+            yield i, int(j)
+
+
 def _block_links(percent: int):
-    """All links between the sets of two blocks, by one inverted list of the larger block's hashes."""
-    import pandas as pd
-
-    def run(key, few: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
-        us: list[int] = []
-        vs: list[int] = []
-        if len(few) and len(many):
-            sets = [np.frombuffer(h, _U) for h in many["hashes2"]]
-            sizes = np.asarray([len(x) for x in sets])
-            hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-            order = np.argsort(hashes, kind="stable")
-            hashes, owner = hashes[order], owner[order]
-            ids, roots = many["id2"].to_numpy(), many["root2"].to_numpy()
-            for i, root, h in zip(few["id"], few["root"], few["hashes"]):
-                own = np.frombuffer(h, _U)
-                lo, hi = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
-                n = hi - lo
-                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                common = np.bincount(owner[at], minlength=len(sets))
-                linked = (100 * common >= percent * (sizes + len(own) - common)) & (roots != root)
-                us.extend([i] * int(linked.sum()))
-                vs.extend(ids[linked])
-        return pd.DataFrame({"u": us, "v": vs}, dtype="int64")
+    """For rows sorted by block: the links between its two sides; a block at a time is in memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(sides) -> pa.RecordBatch:
+            pairs = list(_links(*sides, percent))
+            return pa.RecordBatch.from_pydict({"u": pa.array([u for u, _ in pairs], pa.int64()), "v": pa.array([v for _, v in pairs], pa.int64())})
+
+        now, sides = None, ([], [])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                for *key, side, i, root, h in zip(*(batch.column(n).to_pylist() for n in ("family", "x", "y", "side", "id", "root", "hashes"))):
+                    if key != now:
+                        yield found(sides)
+                        now, sides = key, ([], [])
+                    sides[side].append((i, root, h))
+        yield found(sides)
 
     return run
 
@@ -273,7 +311,8 @@ def _apart(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int,
 
     Groups that buckets connect form a family. A family's sets are compared in blocks: all
     but those of its largest group with every one of another group, so the work is what the
-    largest group leaves over times the family. Larger families have more blocks.
+    largest group leaves over times the family. Larger families have more blocks, of the
+    same size.
     """
     b = scratch.keep(_mixed(buckets, labels))
     if b.isEmpty():
@@ -286,11 +325,13 @@ def _apart(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int,
                             .select("family", "n", F.col("major.root").alias("major"), (F.col("n") - F.col("major.n")).alias("m"), "bytes", (F.col("bytes") - F.col("major.bytes")).alias("m_bytes")))
     parts = lambda n, size: F.greatest(F.ceil(F.col(n) / _BLOCK_SETS), F.ceil(F.col(size) / _BLOCK_BYTES), F.lit(1)).cast("int")
     full = members.drop("bytes").join(families, "family").join(sets, "id").withColumn("p", parts("n", "bytes")).withColumn("q", parts("m", "m_bytes"))
-    spread = lambda df, own, other, c, d: df.withColumn(c, F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn(d, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("family", "x", "y", "id", "root", "hashes")
-    few, many = spread(full.where("root <> major"), "q", "p", "x", "y"), spread(full, "p", "q", "y", "x")
-    # New names, as both sides come from one table.
-    many = many.toDF("f2", "x2", "y2", "id2", "root2", "hashes2")
-    return few.groupBy("family", "x", "y").cogroup(many.groupBy("f2", "x2", "y2")).applyInPandas(_block_links(percent), "u long, v long")
+
+    def spread(df: DataFrame, side: int, own: str, other: str, c: str, d: str) -> DataFrame:
+        dealt = df.withColumn(c, F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn(d, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return dealt.select("family", "x", "y", F.lit(side).alias("side"), "id", "root", "hashes")
+
+    both = spread(full.where("root <> major"), 0, "q", "p", "x", "y").unionByName(spread(full, 1, "p", "q", "y", "x"))
+    return both.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "side").mapInArrow(_block_links(percent), "u long, v long")
 
 
 def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
@@ -316,7 +357,7 @@ def near_duplicates(docs: DataFrame, row_key: str = "doc_id", text: str = "text"
     buckets = scratch.keep(found.select("key", "id").join(degree, "id"))
     scratch.drop(found)
     members = buckets.select(F.col("id").alias("c")).distinct()
-    sets = scratch.keep(sets_of(docs, classes.select("id", "f1", "f2", "c").join(members, "c"), row_key, text, width))
+    sets = sets_of(docs, classes.select("id", "f1", "f2", "c").join(members, "c"), row_key, text, width, scratch)
     none = spark.createDataFrame([], "id long, root long")
     labels, tested = none, None
     for _ in range(_STARS):
@@ -325,19 +366,19 @@ def near_duplicates(docs: DataFrame, row_key: str = "doc_id", text: str = "text"
             break
         tested = checked if tested is None else tested.unionByName(checked)
         if not checked.where("linked").isEmpty():
+            scratch.drop(labels)
             labels = components(tested.where("linked"), scratch)
     if tested is not None:
         links = scratch.keep(_apart(buckets, labels, sets, percent, scratch))
         if not links.isEmpty():
             labels = components(tested.where("linked").select("u", "v").unionByName(links), scratch)
-    # What the result does not read goes now.
-    for done in (buckets, sets):
-        scratch.drop(done)
     # Classes of one id are kept or dropped together, so their components are one.
     linked = classes.select("c", "id").join(labels.select(F.col("id").alias("c"), "root"), "c")
     least = linked.groupBy("root").agg(F.min("id").alias("least"))
     labels = components(linked.join(least, "root").select(F.col("id").alias("u"), F.col("least").alias("v")), scratch)
-    merged = classes.select("f1", "f2", "id").join(labels, "id", "left").select("f1", "f2", F.coalesce("root", "id").alias("component_id"))
+    merged = scratch.keep(classes.select("f1", "f2", "id").join(labels, "id", "left").select("f1", "f2", F.coalesce("root", "id").alias("component_id")))
+    # The result reads two light tables; all else goes now.
+    scratch.drop_all_but(signed, merged)
     out = signed.select("id", "n_shingles", "f1", "f2").join(merged, ["f1", "f2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(row_key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -2,6 +2,7 @@ import random
 import re
 
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import near_dup
@@ -89,3 +90,31 @@ def test_partial_keys_meet_as_often_as_computed():
         ka, kb = near_dup.partial_keys(a, family, 20, 4), near_dup.partial_keys(b, family, 20, 4)
         met += bool((ka[:20] == kb[:20]).any() and (ka[20:] == kb[20:]).any())
     assert met >= 296
+
+
+def test_large_group_of_near_copies_and_long_texts(spark, monkeypatch):
+    """A hot centre in many parts, blocks of few sets, and texts of very different lengths."""
+    monkeypatch.setattr(near_dup, "_PART_ROWS", 7)
+    monkeypatch.setattr(near_dup, "_BLOCK_SETS", 5)
+    rng = random.Random(8)
+    base, texts = [f"b{i}" for i in range(80)], []
+    for i in range(400):
+        copy = list(base)
+        for _ in range(i % 12):
+            copy[rng.randrange(80)] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(copy))
+    # They share most with the group without being near copies, and some are near to each other.
+    for i in range(60):
+        texts.append(" ".join(base[:60] + [f"y{i // 3}{j}" for j in range(30)] + [f"z{i}"]))
+    long = [f"l{rng.randrange(5000)}" for _ in range(40_000)]
+    texts += [" ".join(long), " ".join(long[:-500]), " ".join(long[:5000]), " ".join(base * 200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert _got(near_dup.query(docs)) == _brute(range(len(texts)), texts)
+
+
+def test_ids_that_are_no_integers(spark):
+    same = "a b c d e f g h"
+    docs = spark.createDataFrame([("7", same), ("9", same)], "doc_id string, text string")
+    assert _got(near_dup.query(docs)) == {7: (7, 7, True), 9: (7, 7, False)}
+    with pytest.raises(Exception):
+        near_dup.query(docs.union(spark.createDataFrame([("x", same)], docs.schema))).collect()
