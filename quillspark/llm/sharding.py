@@ -6,50 +6,63 @@ order, so that equal cuts of it have the mixture of the whole. Ranks and positio
 taken inside hash and order buckets whose sizes are summed up separately, so neither a hot
 source nor the whole order is ever sorted by one task.
 
-Defined results: a null source is a source of its own; repeated rows are ranked one by one;
-an empty table gives no rows; all columns pass through, and columns named shard or slot are
-replaced. Counts of shards differ by at most one.
+Wholly repeated rows are counted before they move and multiplied again once their ranks are
+known, so that they do not meet in one task, either.
+
+Defined results: a null source is a source of its own; a null elsewhere is a value like any
+other (in ``query`` a null text has no bytes); repeated rows are ranked one by one; very
+long texts are columns like others; an empty table gives no rows; all columns pass through,
+and columns named shard or slot are replaced. Counts of shards differ by at most one. A row
+is told from others by a 128-bit hash of its columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import running_offsets, utf8
+from quillspark.llm._common import Scratch, running_offsets, utf8
 
-_ROWS_PER_BUCKET = 20_000
+_ROWS_PER_BUCKET = 2_000
+_LEAST_BUCKETS = 256
 
 
 def interleave(df: DataFrame, shards: int, source: str = "source", seed: int = 0) -> DataFrame:
     """Add ``shard`` (from 0) and ``slot`` (gapless in each shard) to every row of ``df``."""
     kept = [c for c in df.columns if c not in ("shard", "slot")]
-    rows = df.count()
+    content = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), *[F.struct(F.col(c).isNull(), F.col(c)) for c in kept])
+    hashed = df.select(F.struct(*kept).alias("_row"), content(0).alias("_hash"), content(1).alias("_tie"), F.col(source).alias("_source"))
+    # Written once: all that follows reads the same rows, whatever is run again.
+    distinct = Scratch(df.sparkSession).keep(hashed.groupBy("_source", "_hash", "_tie").agg(F.first("_row").alias("_row"), F.count("*").alias("_n")))
+    rows = distinct.agg(F.sum("_n")).first()[0]
     if not rows:
         return df.select(*kept, F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("slot"))
-    buckets = max(16, -(-rows // _ROWS_PER_BUCKET))
-    content = F.xxhash64(F.lit(seed), *[F.col(c) for c in kept])
+    buckets = max(_LEAST_BUCKETS, -(-rows // _ROWS_PER_BUCKET))
+    bucket_of = lambda unit: F.least(F.floor(unit * buckets), F.lit(buckets - 1)).cast("int")
+
+    def before(n: Column | str, by: list[str], order: list[str]) -> Column:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(n).over(w), F.lit(0))
+
     # The upper bits order the rows, so the bucket is a prefix of the order.
-    hashed = df.select(*kept, content.alias("_hash"), F.col(source).alias("_source"))
-    unit = (F.col("_hash").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
-    hashed = hashed.withColumn("_bucket", F.least(F.floor(unit * buckets), F.lit(buckets - 1)).cast("int"))
-    sizes = hashed.groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
+    hashed = distinct.withColumn("_bucket", bucket_of((F.col("_hash").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)))
+    sizes = hashed.groupBy("_source", "_bucket").agg(F.sum("_n").alias("_n"))
     totals = sizes.groupBy("_source").agg(F.sum("_n").alias("_total"))
     offsets = running_offsets(sizes, "_bucket", "_n", ["_source"])
     offsets = offsets.alias("o").join(totals.alias("t"), F.col("o._source").eqNullSafe(F.col("t._source"))).select("o._source", "o._bucket", "before", "_total")
-    nth = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_hash", *kept))
-    ranked = hashed.withColumn("_nth", nth).alias("r").join(
+    ranked = hashed.withColumn("_nth", before("_n", ["_source", "_bucket"], ["_hash", "_tie"])).alias("r").join(
         offsets.alias("o"), F.col("r._source").eqNullSafe(F.col("o._source")) & (F.col("r._bucket") == F.col("o._bucket")))
-    ranked = ranked.select(*[F.col(f"r.{c}") for c in kept], "r._source", "_hash", ((F.col("before") + F.col("_nth") - F.lit(0.5)) / F.col("_total")).alias("_at"))
-    ranked = ranked.withColumn("_bucket", F.least(F.floor(F.col("_at") * buckets), F.lit(buckets - 1)).cast("int"))
+    ranked = ranked.select("_row", "r._source", "_hash", "_tie", "_total", (F.col("before") + F.col("_nth")).alias("_first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_copy"))
+    ranked = ranked.withColumn("_at", (F.col("_first") + F.col("_copy") + F.lit(0.5)) / F.col("_total"))
+    ranked = ranked.select("_row", "_source", "_hash", "_tie", "_copy", "_at", bucket_of(F.col("_at")).alias("_bucket"))
     order = running_offsets(ranked.groupBy("_bucket").agg(F.count("*").alias("_n")), "_bucket", "_n", [])
-    nth = F.row_number().over(Window.partitionBy("_bucket").orderBy("_at", "_source", "_hash", *kept))
+    nth = F.row_number().over(Window.partitionBy("_bucket").orderBy("_at", "_source", "_hash", "_tie", "_copy"))
     placed = ranked.withColumn("_nth", nth).join(order.select("_bucket", "before"), "_bucket")
     placed = placed.withColumn("_pos", F.col("before") + F.col("_nth") - 1)
     # Shard s has the positions from ceil(s * rows / shards) on.
     shard = F.expr(f"cast((_pos * {shards}L) div {rows}L as int)")
     first = F.expr(f"(shard * {rows}L + {shards - 1}L) div {shards}L")
-    return placed.withColumn("shard", shard).select(*kept, "shard", (F.col("_pos") - first).alias("slot"))
+    return placed.withColumn("shard", shard).select("_row.*", "shard", (F.col("_pos") - first).alias("slot"))
 
 
 def query(docs: DataFrame, shards: int = 24) -> DataFrame:

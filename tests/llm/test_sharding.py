@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from quillspark.llm import sharding
 
@@ -35,6 +36,26 @@ def test_mixture_of_every_shard(spark):
         assert all(abs(part[k] - n / 24) <= 2 for k, n in whole.items())
 
 
+def test_order_is_that_of_fractional_ranks(spark):
+    """The whole placement by sorting on the driver, hot source, null source and repeated rows included."""
+    df = spark.range(900).selectExpr("id div 2 as doc_id", "case when id % 3 = 0 then 'hot' when id % 7 = 0 then null else concat('s', id % 4) end as source", "if(id % 5 = 0, null, 't') as text")
+    df = df.unionByName(df.where("doc_id = 3").limit(1).crossJoin(spark.range(300)).drop("id")).repartition(5)
+    rows = df.select("*", *[F.expr(f"xxhash64(0, {salt}, {', '.join(f'struct({c} is null, {c})' for c in df.columns)})").alias(f"h{salt}") for salt in (0, 1)]).collect()
+    by_source = {}
+    for r in rows:
+        by_source.setdefault(r.source, []).append(r)
+    order = []
+    for source, mine in by_source.items():
+        for rank, r in enumerate(sorted(mine, key=lambda r: (r.h0, r.h1))):
+            order.append(((rank + 0.5) / len(mine), source is not None, source or "", r.h0, r.h1, (r.doc_id, r.source, r.text)))
+    order = [x[-1] for x in sorted(order, key=lambda x: x[:-1])]
+    n, shards = len(order), 24
+    shard_of = [p * shards // n for p in range(n)]
+    want = [(*row, s, p - shard_of.index(s)) for p, (row, s) in enumerate(zip(order, shard_of))]
+    got = [tuple(r) for r in sharding.interleave(df, shards).collect()]
+    assert sorted(got, key=lambda r: r[3:]) == want
+
+
 def test_order_is_seeded(spark):
     df = spark.range(500).selectExpr("id as doc_id", "'a' as source").repartition(3)
     place = lambda d, seed: {r.doc_id: (r.shard, r.slot) for r in sharding.interleave(d, 7, seed=seed).collect()}
