@@ -7,10 +7,12 @@ a control string, and a null role is ``<|null|>``, a line feed in a role ``<|nl|
 is undone by ``parse``. The loss mask of a formatted conversation is the set of turn texts
 in its assistant blocks.
 
-Defined results: a null text is empty; a null turn sorts first, ties of the turn number
+A conversation is one row, so its turns meet in one task; no two conversations need to.
+
+Defined results: a null text is empty; very long texts and conversations are formatted whole; a null turn sorts first, ties of the turn number
 sort by role and text, repeated rows are repeated turns; a null conversation id is a
 conversation of its own; an empty table gives no rows; columns other than the four named
-ones are not part of a conversation and are left out.
+ones, whatever their names, are not part of a conversation and are left out.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm._common import utf8
+from quillspark.llm.quality import let
 
 START, TURN, END = "<|im_start|>", "<|turn|>", "<|im_end|>"
 NULL_ROLE, LINE = "<|null|>", "<|nl|>"
@@ -36,17 +39,28 @@ def _role(role: Column) -> Column:
     return F.coalesce(F.replace(escaped(role), F.lit("\n"), F.lit(LINE)), F.lit(NULL_ROLE))
 
 
+def _blocks(turns: Column) -> Column:
+    """Sorted turn structs merged where neighbours have one role: structs of the role and its texts."""
+    n = F.size(turns)
+    opens = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(turns, i - 1)["role"] != F.get(turns, i)["role"]))
+
+    def merged(starts: Column) -> Column:
+        def block(start: Column, k: Column) -> Column:
+            own = F.slice(turns, start + 1, F.coalesce(F.get(starts, k + 1), n) - start)
+            return F.struct(F.get(turns, start)["role"].alias("role"), F.transform(own, lambda t: t["text"]).alias("texts"))
+
+        return F.transform(starts, block)
+
+    return let(opens, merged)
+
+
 def chat_format(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row per conversation: ``conv``, ``blocks`` and the ``formatted`` string."""
+    """One row per conversation: ``conv``, ``blocks`` (escaped role and texts) and the ``formatted`` string."""
     one = F.struct(F.col(turn).alias("turn"), _role(F.col(role)).alias("role"), escaped(F.coalesce(F.col(text), F.lit(""))).alias("text"))
     sorted_turns = turns.groupBy(conv).agg(F.array_sort(F.collect_list(one)).alias("_turns"))
-    # A turn opens a block if its role differs from that of the turn before it.
-    pieces = F.transform("_turns", lambda t, i: F.concat(
-        F.when((i > 0) & (F.get("_turns", i - 1)["role"] == t["role"]), F.lit(TURN))
-        .otherwise(F.concat(F.when(i > 0, F.lit(END + "\n")).otherwise(F.lit("")), F.lit(START), t["role"], F.lit("\n"))),
-        t["text"]))
-    formatted = F.concat(F.array_join(pieces, ""), F.lit(END + "\n"))
-    return sorted_turns.select(conv, formatted.alias("formatted"))
+    blocks = sorted_turns.select(conv, _blocks(F.col("_turns")).alias("blocks"))
+    told = F.transform("blocks", lambda b: F.concat(F.lit(START), b["role"], F.lit("\n"), F.array_join(b["texts"], TURN), F.lit(END + "\n")))
+    return blocks.select(conv, "blocks", F.array_join(told, "").alias("formatted"))
 
 
 def parse(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:

@@ -24,6 +24,17 @@ def test_merges_neighbours_and_sorts(spark):
     rows = [(1, 3, "assistant", "c", ""), (1, 1, "user", "a", ""), (1, 2, "user", "b", ""), (1, 2, "user", "b", "")]
     r = chat.chat_format(spark.createDataFrame(rows, SCHEMA)).first()
     assert r.formatted == "<|im_start|>user\na<|turn|>b<|turn|>b<|im_end|>\n<|im_start|>assistant\nc<|im_end|>\n"
+    assert [(b.role, b.texts) for b in r.blocks] == [("user", ["a", "b", "b"]), ("assistant", ["c"])]
+
+
+def test_huge_conversation_and_clashing_columns(spark):
+    n = 30_000
+    turns = spark.range(n).selectExpr("1L as conv_id", "id as turn", "if(id div 3 % 2 = 0, 'user', 'assistant') as role", "concat('t', id) as text", "'own' as formatted", "'own' as blocks")
+    turns = turns.unionByName(turns.where("turn = 0").withColumn("conv_id", F.lit(2).cast("long")).withColumn("text", F.repeat(F.lit("x<|"), 500_000)))
+    out = {r.conv_id: r for r in chat.parse(chat.chat_format(turns)).collect()}
+    assert [t.text for t in out[1].turns] == [f"t{i}" for i in range(n)]
+    assert out[1].formatted.count("<|im_start|>") == n // 3
+    assert out[2].turns[0].text == "x<|" * 500_000
 
 
 def test_query_holds_the_added_conversation(spark):
