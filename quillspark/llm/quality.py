@@ -8,8 +8,10 @@ are set aside before the next. The rules are emitted as one ordered ``CASE`` exp
 
 Defined results: a null text has no words and fails the base rule (fewer than 20 words, or
 more than 30 % of the words in repeated 8-word windows); without labels, or without rejected
-ones among them, the list is empty and only the base rule rejects; repeated rows give
-repeated results; other columns pass through, clashing ones are replaced.
+ones among them, the list is empty and only the base rule rejects; keys with
+conflicting labels teach nothing; repeated rows give repeated results; very long texts are
+measured whole; an empty table gives no rows; other columns pass through, clashing ones are
+replaced.
 """
 
 from __future__ import annotations
@@ -186,17 +188,23 @@ class Covering:
 
 
 def learn(docs: DataFrame, labels: DataFrame, row_key: str = "doc_id", label: str = "quality", text: str = "text", rows: int = 8000) -> list[Rule]:
-    """Rules from at most ``rows`` labelled documents (label 0: reject), drawn by a hash of their key."""
-    known = labels.where(F.col(row_key).isNotNull() & F.col(label).isNotNull()).select(F.col(row_key), (F.col(label) == 0).alias("_bad")).dropDuplicates([row_key])
+    """Rules from at most ``rows`` labelled keys (label 0: reject), the first in the order of a hash of theirs.
+
+    A key with conflicting labels has none. A key of several documents labels all of them, of
+    which at most 2 * ``rows`` are looked at.
+    """
+    given = labels.where(F.col(row_key).isNotNull() & F.col(label).isNotNull()).groupBy(row_key).agg(F.min(F.col(label) == 0).alias("_bad"), F.max(F.col(label) == 0).alias("_most"))
+    known = given.where(F.col("_bad") == F.col("_most")).drop("_most")
     n = known.count()
     if not n:
         return []
-    drawn = F.pmod(F.xxhash64(row_key), F.lit(1 << 20)) < int(min(1.0, 0.9 * rows / n) * (1 << 20))
+    known = known.withColumn("_hash", F.xxhash64(row_key))
+    drawn = F.pmod("_hash", F.lit(1 << 20)) < int(min(1.0, 0.9 * rows / n) * (1 << 20))
     # The limit proves the size of what is broadcast; the texts need not move.
-    sample = docs.select(row_key, text).join(F.broadcast(known.where(drawn).limit(rows)), row_key).withColumn("_hash", F.xxhash64(row_key))
+    sample = docs.select(row_key, text).join(F.broadcast(known.where(drawn).orderBy("_hash", row_key).limit(rows)), row_key)
     # One expression holds all measures, so that no pushed filter computes the statistics again.
     one = let(statistics(F.col(text)), lambda s: F.struct(base_failed(s).alias("base"), F.array(*measures(s).values()).alias("values")))
-    got = sample.select("_hash", row_key, "_bad", one.alias("m")).orderBy("_hash", row_key).limit(2 * rows).collect()
+    got = sample.select("_hash", row_key, "_bad", one.alias("m")).orderBy("_hash", row_key, F.to_json("m")).limit(2 * rows).collect()
     got = [r for r in got if not r["m"]["base"]]
     if not got:
         return []

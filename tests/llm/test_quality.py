@@ -16,6 +16,39 @@ def _brute(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
 
 
+def _measures(text):
+    """The measures of the rules, counted by other means."""
+    import unicodedata
+
+    n_words, word_chars, n_symbols, n_dup, n_repeat = _brute(text)
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n_lines = len([x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
+    share = lambda a, b: 1000 * a // max(b, 1)
+    return {
+        "n_words": n_words, "symbols_per_1000_chars": share(n_symbols, word_chars),
+        "upper_per_1000_chars": share(sum(unicodedata.category(c) == "Lu" for c in text), word_chars),
+        "shouts_per_1000_words": share(sum(c in "!?" for c in text), n_words),
+        "digits_per_1000_chars": share(sum(c in "0123456789" for c in text), word_chars),
+        "dup_per_1000_lines": share(n_dup, n_lines), "repeated_per_1000_words": share(n_repeat, n_words),
+        "distinct_per_1000_words": share(len(set(words)), n_words), "chars_per_1000_words": share(word_chars, n_words),
+    }
+
+
+def _verdicts_follow_the_rules(spark, d, docs, rows):
+    rules = quality.learn(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    assert rules and rules == quality.learn(spark.read.parquet(f"{d}/documents.parquet").repartition(7), spark.read.parquet(f"{d}/labels.parquet").repartition(3))
+    for i, text in zip(docs["doc_id"], docs["text"]):
+        m = _measures(text)
+        hit = any(all(m[x.measure] >= x.threshold if x.above else m[x.measure] <= x.threshold for x in rule) for rule in rules)
+        assert rows[i].kept == (not rows[i].base_failed and not hit), i
+
+
+def test_conflicting_labels_teach_nothing(spark, make_docs):
+    docs = make_docs([f"good words {' '.join(f'w{i}{j}' for j in range(30))}" for i in range(60)])
+    labels = spark.createDataFrame([(i, q, 0) for i in range(60) for q in (0, 1)], "doc_id long, quality int, toxic int")
+    assert quality.learn(docs, labels) == []
+
+
 def test_whole_table_equals_brute_force(spark):
     d = "/root/testdata/sf0.01"
     docs = pq.read_table(f"{d}/documents.parquet").to_pydict()
@@ -26,6 +59,7 @@ def test_whole_table_equals_brute_force(spark):
         assert tuple(rows[i][c] for c in quality.BASE) == want
         assert rows[i].base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0])
         assert not (rows[i].base_failed and rows[i].kept)
+    _verdicts_follow_the_rules(spark, d, docs, rows)
     good = [rows[i] for i, q in zip(labels["doc_id"], labels["quality"]) if q and not rows[i].base_failed]
     bad = [rows[i] for i, q in zip(labels["doc_id"], labels["quality"]) if not q]
     assert sum(r.kept for r in good) >= 0.98 * len(good)
