@@ -62,7 +62,7 @@ def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import secrets
 
-    return secrets.query(table(spark, sf_dir, "documents"))
+    return secrets.query(table(spark, sf_dir, "documents"), secrets.dictionary_words(_vocabulary("word_bpe_49k.json")))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
