@@ -55,7 +55,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    masked = secrets.redact(docs.withColumn("_before", F.col("text")), secrets.fit(spark))
+    import public_tokenizers
+
+    model = secrets.fit(spark, secrets.dictionary_words(public_tokenizers.path("word_bpe_49k.json")))
+    masked = secrets.redact(docs.withColumn("_before", F.col("text")), model)
     same = F.col("_before").eqNullSafe(F.col("text"))
     n_chars = F.when(same, F.col("n_chars")).otherwise(F.length("text").cast("long"))
     return masked.select(*[n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
