@@ -10,22 +10,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.index import inverted_lists, posting_chunks
+from quillspark.operators.running import running_sums
+
 ENTRY_BYTES = 12  # of a term in the offset table
 
 
-def u32(n: Column) -> Column:
-    return F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0"))
+def _entries(ids: Column) -> Column:
+    """Hex digits of the entries of an array of id strings."""
+    return F.array_join(F.transform(ids, lambda x: F.concat(F.lpad(F.hex(F.octet_length(x).cast("long")), 8, "0"), F.hex(F.encode(x, "UTF-8")))), "")
 
 
 def encode_postings(ids: Column) -> Column:
     """BINARY of an array of id strings in string order."""
-    hexed = F.transform(ids, lambda x: F.concat(F.lpad(F.hex(F.octet_length(x).cast("long")), 8, "0"), F.hex(F.encode(x, "UTF-8"))))
-    return F.unhex(F.concat(F.lpad(F.hex(F.size(ids).cast("long")), 8, "0"), F.array_join(hexed, "")))
+    return F.unhex(F.concat(F.lpad(F.hex(F.size(ids).cast("long")), 8, "0"), _entries(ids)))
 
 
-def _ids_of(data: bytes) -> list[str]:
-    out, at = [], 4
-    for _ in range(int.from_bytes(data[:4], "big")):
+def _ids_of(data: bytes, at: int = 4) -> list[str]:
+    out = []
+    while at < len(data):
         end = at + 4 + int.from_bytes(data[at : at + 4], "big")
         out.append(data[at + 4 : end].decode("utf-8", "replace"))
         at = end
@@ -42,21 +45,56 @@ def decode_postings(data: Column) -> Column:
     return F.arrow_udf(_decoded, "array<string>")(data)
 
 
-def encoded_index(lists: DataFrame) -> DataFrame:
-    """(term, term_id, start, len, offset, data) for (term, postings) rows.
+def _decoded_part(data: pa.Array, first: pa.Array) -> pa.Array:
+    return pa.array([_ids_of(x, 4 if f else 0) for x, f in zip(data.to_pylist(), first.to_pylist())], pa.list_(pa.string()))
+
+
+def decode_chunks(chunks: DataFrame) -> DataFrame:
+    """(term, doc_id) of ``encoded_chunks``."""
+    starts = chunks.groupBy("term").agg(F.min("part").alias("least"))
+    ids = F.arrow_udf(_decoded_part, "array<string>")(F.col("data"), F.col("part") == F.col("least"))
+    return chunks.join(starts, "term").select("term", F.explode(ids).alias("doc_id"))
+
+
+def term_table(postings: DataFrame) -> DataFrame:
+    """(term, term_id, start, len, offset, df): where a term stands in the dictionary string and its list in the bytes.
+
+    Only counts and lengths are read; no list is made.
+    """
+    ids = F.octet_length(F.col("doc_id").cast("string"))
+    sizes = postings.groupBy("term").agg(F.count("*").alias("df"), (F.sum(ids + 4) + 4).cast("long").alias("bytes"))
+    sized = sizes.withColumn("len", F.length("term").cast("int")).withColumn("one", F.lit(1).cast("long"))
+    return running_sums(sized, ["term"], {"term_id": "one", "start": "len", "offset": "bytes"}).select("term", "term_id", "start", "len", "offset", "df")
+
+
+def dictionary_string(postings: DataFrame) -> DataFrame:
+    """(start, text): the dictionary string, all terms in order end to end, in pieces of at most 10000 terms."""
+    pieces = term_table(postings).withColumn("piece", F.expr("term_id div 10000L"))
+    joined = pieces.groupBy("piece").agg(F.min("start").alias("start"), F.array_sort(F.collect_list(F.struct("term_id", "term"))).alias("terms"))
+    return joined.select("start", F.array_join(F.col("terms.term"), "").alias("text"))
+
+
+def encoded_index(postings: DataFrame) -> DataFrame:
+    """(term, term_id, start, len, offset, data), a term's encoded list in one row."""
+    lists = inverted_lists(postings).select("term", encode_postings(F.col("postings")).alias("data"))
+    return term_table(postings).drop("df").join(lists, "term")
+
+
+def encoded_chunks(postings: DataFrame) -> DataFrame:
+    """(term, part, offset, data): the same bytes at the same places, a frequent term's in many rows.
 
-    Term ids and offsets are sums over all smaller terms, taken by first letters and then
-    within one first letter pair, so the sort is spread over tasks.
+    A term's first part begins with its count.
     """
-    rows = lists.select("term", encode_postings(F.col("postings")).alias("data"), F.substring("term", 1, 2).alias("p"))
-    sized = rows.withColumn("len", F.length("term").cast("int")).withColumn("bytes", F.length("data").cast("long"))
-    groups = sized.groupBy("p").agg(F.count("*").alias("n"), F.sum("len").alias("l"), F.sum("bytes").alias("b"))
-    over = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    all_ = Window.orderBy("p")
-    base = groups.select("p", over("n", all_).alias("n0"), over("l", all_).alias("l0"), over("b", all_).alias("b0"))
-    own = Window.partitionBy("p").orderBy("term")
-    inner = sized.select("term", "data", "p", "len", (F.row_number().over(own) - 1).alias("n1"), over("len", own).alias("l1"), over("bytes", own).alias("b1"))
-    return inner.join(base, "p").select("term", (F.col("n0") + F.col("n1")).cast("long").alias("term_id"), (F.col("l0") + F.col("l1")).alias("start"), "len", (F.col("b0") + F.col("b1")).alias("offset"), "data")
+    table, parts = term_table(postings), posting_chunks(postings)
+    bare = parts.select("term", "part", _entries(F.col("postings")).alias("hex"))
+    own = Window.partitionBy("term").orderBy("part")
+    before = F.sum(F.length("hex") / 2).over(own.rowsBetween(Window.unboundedPreceding, -1)).cast("long")
+    # A window over a term's parts has a row per range, and the bytes stay out of it.
+    places = bare.select("term", "part", before.alias("before"))
+    rows = bare.join(places, ["term", "part"]).join(table.select("term", "offset", "df"), "term")
+    first = F.col("before").isNull()
+    data = F.unhex(F.concat(F.when(first, F.lpad(F.hex("df"), 8, "0")).otherwise(F.lit("")), F.col("hex")))
+    return rows.select("term", "part", (F.col("offset") + F.when(first, 0).otherwise(F.col("before") + 4)).alias("offset"), data.alias("data"))
 
 
 def size_report(postings: DataFrame) -> DataFrame:

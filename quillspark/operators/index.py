@@ -1,19 +1,21 @@
 """The inverted index as four normalised tables.
 
-``postings`` (term, doc_id, tf), ``doc_stats`` (doc_id, dl, failed), ``term_stats`` (term,
-df, cf) and ``corpus_stats`` (n_docs, n_files, total_tokens, avgdl). Lists per term are made
-only by the sinks that need them, so a frequent term is never gathered by the engine.
+``postings`` (term, doc_id, tf, dl), ``doc_stats`` (doc_id, dl, failed), ``term_stats`` (term,
+df, cf) and ``corpus_stats`` (n_docs, n_files, total_tokens, avgdl). A posting holds its
+document's length, so that ranking needs no other table. Lists per term are made only by the
+sinks that need them, so a frequent term is never gathered by the engine. Ids are unique.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.analysis import LETTERS_PORTER, Analyzer
+from quillspark.operators.running import running_sums
 
 TABLES = ("postings", "doc_stats", "term_stats", "corpus_stats")
 
@@ -26,6 +28,7 @@ class Index:
     corpus_stats: DataFrame
     analyzer: Analyzer = LETTERS_PORTER
     population: str = "indexed"
+    words: DataFrame | None = field(default=None, repr=False)  # of an index that is not written
     _df: dict[str, int] = field(default_factory=dict, repr=False)
 
     @cached_property
@@ -55,7 +58,7 @@ class Index:
 
     def term_frequency(self, pairs: DataFrame) -> DataFrame:
         """``tf`` for (term, doc_id) pairs, 0 where there is none."""
-        return pairs.join(self.postings, ["term", "doc_id"], "left").withColumn("tf", F.coalesce("tf", F.lit(0)))
+        return pairs.join(self.postings.select("term", "doc_id", "tf"), ["term", "doc_id"], "left").withColumn("tf", F.coalesce("tf", F.lit(0)))
 
     def document_length(self, ids: DataFrame) -> DataFrame:
         return ids.join(self.doc_stats.select("doc_id", "dl"), "doc_id", "left").withColumn("dl", F.coalesce("dl", F.lit(0)))
@@ -64,15 +67,29 @@ class Index:
         return self.term_stats.select("term").orderBy("term")
 
     def write(self, path: str) -> "Index":
-        """Store the tables, those with terms sorted by term, and return an index that reads them."""
-        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        written = self.postings.sparkSession.read.schema(self.postings.schema).parquet(f"{path}/postings")
-        # From what is stored: the texts are analysed once for postings and once for lengths.
+        """Store the tables, those with terms sorted by term, and return an index that reads them.
+
+        Texts are analysed once: the counted words are written first, and all tables come
+        from them.
+        """
+        spark, parts = self.postings.sparkSession, self
+        staged = f"{path}/words"
+        if self.words is not None:
+            self.words.write.mode("overwrite").parquet(staged)
+            words = spark.read.schema(self.words.schema).parquet(staged)
+            parts = replace(self, words=None, postings=_joined_stems(words, self.analyzer), doc_stats=_lengths(words))
+        # One shuffle: what is counted together lies in one range.
+        ranged = parts.postings.repartitionByRange("term", "doc_id").groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
+        ranged.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        written = spark.read.schema(ranged.schema).parquet(f"{path}/postings")
         term_stats(written).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
-        self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
-        lengths = self.doc_stats.sparkSession.read.schema(self.doc_stats.schema).parquet(f"{path}/doc_stats")
+        parts.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+        lengths = spark.read.schema(parts.doc_stats.schema).parquet(f"{path}/doc_stats")
         corpus_stats(lengths).write.mode("overwrite").parquet(f"{path}/corpus_stats")
-        return read_index(self.postings.sparkSession, path, self.analyzer, self.population)
+        if self.words is not None:
+            p = spark._jvm.org.apache.hadoop.fs.Path(staged)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        return read_index(spark, path, self.analyzer, self.population)
 
     def temp_views(self, prefix: str = "") -> None:
         for name in TABLES:
@@ -89,13 +106,42 @@ def tokenize(docs: DataFrame, analyzer: Analyzer, doc_id: str = "doc_id", text:
     return words.select(analyzer.terms(F.col("term")).alias("term"), "doc_id")
 
 
-def count_postings(docs: DataFrame, analyzer: Analyzer, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, doc_id, tf). Words are counted before they are stemmed, so each distinct one of a document is stemmed once."""
-    words = docs.select(F.explode(analyzer.surface(F.col(text))).alias("term"), F.col(doc_id).alias("doc_id"))
-    counted = words.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+def counted_words(docs: DataFrame, analyzer: Analyzer, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(word, doc_id, tf, dl, failed) before stemming, from one analysis of each text.
+
+    A document without words has one row without a word; an unreadable one (null text), too,
+    and its length is 1.
+    """
+    # Texts are dealt by document before they are analysed: they are smaller than their
+    # counted words, which then need not move to be added up.
+    dealt = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartition("doc_id")
+    analysed = dealt.select("doc_id", F.col("text").isNull().alias("failed"), analyzer.surface(F.col("text")).alias("w"))
+    dl = F.when(F.col("failed"), F.lit(1)).otherwise(F.size("w")).cast("long")
+    words = analysed.select(F.explode_outer("w").alias("word"), "doc_id", dl.alias("dl"), "failed")
+    return words.groupBy("word", "doc_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"), F.max("failed").alias("failed"))
+
+
+def _joined_stems(words: DataFrame, analyzer: Analyzer) -> DataFrame:
+    """(term, doc_id, tf, dl), not yet added up where words share a stem. Each distinct word is stemmed once."""
+    counted = words.where(F.col("word").isNotNull()).select("word", "doc_id", "tf", "dl")
     if analyzer.stemmer == "none":
-        return counted
-    return counted.select(analyzer.terms(F.col("term")).alias("term"), "doc_id", "tf").groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
+        return counted.withColumnRenamed("word", "term")
+    stems = counted.select("word").distinct().select("word", analyzer.terms(F.col("word")).alias("term"))
+    return counted.join(stems, "word").select("term", "doc_id", "tf", "dl")
+
+
+def _lengths(words: DataFrame) -> DataFrame:
+    return words.groupBy("doc_id").agg(F.max("dl").alias("dl"), F.max("failed").alias("failed"))
+
+
+def _postings_of(words: DataFrame, analyzer: Analyzer) -> DataFrame:
+    rows = _joined_stems(words, analyzer)
+    return rows if analyzer.stemmer == "none" else rows.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
+
+
+def count_postings(docs: DataFrame, analyzer: Analyzer, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(term, doc_id, tf, dl)."""
+    return _postings_of(counted_words(docs, analyzer, doc_id, text), analyzer)
 
 
 def document_lengths(docs: DataFrame, analyzer: Analyzer, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -122,9 +168,9 @@ def build_index(docs: DataFrame, analyzer: Analyzer = LETTERS_PORTER, population
     """A lazy index over ``docs``; ``write`` it to search it more than once."""
     if population not in ("indexed", "files"):
         raise ValueError(f"unknown population {population}")
-    postings = count_postings(docs, analyzer, doc_id, text)
-    lengths = document_lengths(docs, analyzer, doc_id, text)
-    return Index(postings, lengths, term_stats(postings), corpus_stats(lengths), analyzer, population)
+    words = counted_words(docs, analyzer, doc_id, text)
+    postings, lengths = _postings_of(words, analyzer), document_lengths(docs, analyzer, doc_id, text)
+    return Index(postings, lengths, term_stats(postings), corpus_stats(lengths), analyzer, population, words)
 
 
 def merge_segments(segments: list[DataFrame]) -> DataFrame:
@@ -132,31 +178,39 @@ def merge_segments(segments: list[DataFrame]) -> DataFrame:
     first, *rest = segments
     for s in rest:
         first = first.unionByName(s)
-    return first.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
+    return first.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
+
+
+def posting_chunks(postings: DataFrame) -> DataFrame:
+    """(term, part, postings): ids as strings, in string order, in parts that ascend.
+
+    A part is what of a term lies in one range of all (term, id), so a frequent term has
+    many parts and no task gets more of it than a range.
+    """
+    ids = postings.select("term", F.col("doc_id").cast("string").alias("id"))
+    ranged = ids.repartitionByRange("term", "id").withColumn("part", F.spark_partition_id())
+    return ranged.groupBy("term", "part").agg(F.array_sort(F.collect_set("id")).alias("postings"))
 
 
 def inverted_lists(postings: DataFrame) -> DataFrame:
-    """(term, postings): ids as strings, in string order. The only operator that gathers a term's list."""
-    return postings.groupBy("term").agg(F.array_sort(F.collect_set(F.col("doc_id").cast("string"))).alias("postings"))
+    """(term, postings): ids as strings, in string order.
+
+    The only operator that puts a term's whole list into one row, as the text and binary
+    formats ask for; a row's limit of 2 GB is the limit of a list. ``posting_chunks`` is the
+    form without that limit.
+    """
+    parts = posting_chunks(postings).groupBy("term").agg(F.array_sort(F.collect_list(F.struct("part", "postings"))).alias("parts"))
+    return parts.select("term", F.flatten(F.col("parts.postings")).alias("postings"))
 
 
-def block_stats(doc_stats: DataFrame, block_size: int, rows_per_group: int = 10_000) -> DataFrame:
+def block_stats(doc_stats: DataFrame, block_size: int) -> DataFrame:
     """Blocks of ``block_size`` + 1 token occurrences in document order: block, n_tokens, n_documents.
 
-    Documents have running token counts from two levels of windows; each contributes to the
-    blocks that its tokens span.
+    Each document contributes to the blocks that its tokens span.
     """
     d = doc_stats.where("dl > 0 and not failed").select("doc_id", "dl")
-    n = d.count()
-    groups = max(1, -(-n // rows_per_group))
-    # Equal-sized ranges of ids, so that no task sorts all documents.
-    ranged = d.repartitionByRange(groups, "doc_id").withColumn("g", F.spark_partition_id())
-    base = ranged.groupBy("g").agg(F.sum("dl").alias("s"))
-    base = base.withColumn("base", F.coalesce(F.sum("s").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    before = F.sum("dl").over(Window.partitionBy("g").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    placed = ranged.withColumn("inner", F.coalesce(before, F.lit(0))).join(F.broadcast(base.select("g", "base")), "g")
+    spans = running_sums(d, ["doc_id"], {"lo": "dl"}).withColumn("hi", F.col("lo") + F.col("dl"))
     size = block_size + 1
-    spans = placed.select("doc_id", (F.col("base") + F.col("inner")).alias("lo"), (F.col("base") + F.col("inner") + F.col("dl")).alias("hi"))
     spans = spans.withColumn("block", F.explode(F.expr(f"sequence(lo div {size}L, (hi - 1) div {size}L)")))
     part = F.least("hi", (F.col("block") + 1) * size) - F.greatest("lo", F.col("block") * size)
     return spans.groupBy("block").agg(F.sum(part).alias("n_tokens"), F.count("*").alias("n_documents"))

@@ -59,8 +59,6 @@ def search(index: Index, query: Query, method: str = "bm25", bm25: Bm25 = Bm25()
             _sum_by_term(tf * tf, {t: w * w for t, w in idf.items()}).alias("norm2"),
         ]
     elif method == "bm25":
-        # Lengths join the matching postings, not the other way round.
-        rows = rows.join(index.doc_stats.select("doc_id", "dl"), "doc_id")
         avgdl = index.corpus["avgdl"] or 1.0
         saturated = (bm25.k1 + 1) * tf / (bm25.k1 * ((1 - bm25.b) + bm25.b * F.col("dl") / avgdl) + tf)
         parts = [_sum_by_term(saturated, {t: math.log((n - d + 0.5) / (d + 0.5) + 1) * bag[t] for t, d in known.items()}).alias("score")]

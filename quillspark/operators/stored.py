@@ -8,22 +8,25 @@ import uuid
 from pyspark.sql import SparkSession
 
 from quillspark.functions.analysis import Analyzer
-from quillspark.operators.index import Index, build_index
 
-_built: dict[tuple[str, str, Analyzer], Index] = {}
+_built: dict = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder where driver and executors can both write: under ``spark.checkpoint.dir``, local only in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         return tempfile.mkdtemp(prefix="quillspark-")
     return f"{root}/quillspark-{uuid.uuid4().hex}"
 
 
-def index_of(spark: SparkSession, sf_dir: str, analyzer: Analyzer) -> Index:
+def index_of(spark: SparkSession, sf_dir: str, analyzer: Analyzer):
+    """The written ``Index`` of a folder's documents."""
+    from quillspark.operators.index import build_index
+
     key = (spark.sparkContext.applicationId, sf_dir, analyzer)
     if key not in _built:
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -43,22 +43,26 @@ def all_scores(engine: SearchEngine, queries: Iterable[str], methods: Iterable[s
     return out
 
 
+# Documents of the ranking fixture that the principles name.
+FREQUENT, RARE, BOTH, DIVERSE = ("doc1.txt", "doc9.txt"), {"doc5.txt", "doc8.txt"}, ("doc1.txt", "doc2.txt", "doc3.txt", "doc5.txt", "doc10.txt"), {"doc3.txt", "doc4.txt", "doc10.txt"}
+
+
 def validate_principles(engine: SearchEngine, query: str) -> DataFrame:
     """(check, pass) for the ranking fixture: frequent words, rare words, both words, diversity."""
     names = [r[0] for r in ranking.top(engine.search_any(query), 5).orderBy("rank").select(base_name(F.col("doc_id"))).collect()]
     low, checks = query.lower(), {}
     if "apple" in low and "rare" not in low and engine.method != "vector":
-        frequent = [d for d in names if d in ("doc1.txt", "doc9.txt")]
+        frequent = [d for d in names if d in FREQUENT]
         checks["frequent word ranks high"] = bool(frequent) and frequent[0] in names[:3]
     if "rare_term" in low:
-        checks["all documents with the rare word"] = {"doc5.txt", "doc8.txt"} <= set(names)
+        checks["all documents with the rare word"] = RARE <= set(names)
     both = "apple" in low and "banana" in low
     if both:
-        checks["both words rank high"] = any(d in ("doc1.txt", "doc2.txt", "doc3.txt", "doc5.txt", "doc10.txt") for d in names[:3])
+        checks["both words rank high"] = any(d in BOTH for d in names[:3])
     if engine.method == "tfidf" and "apple" in low and "rare" not in low and {"doc1.txt", "doc3.txt"} <= set(names):
         checks["higher frequency first"] = names.index("doc1.txt") < names.index("doc3.txt")
     if engine.method == "vector" and both:
-        checks["diverse documents near the top"] = bool({"doc3.txt", "doc4.txt", "doc10.txt"} & set(names[:3]))
+        checks["diverse documents near the top"] = bool(DIVERSE & set(names[:3]))
     spark = engine.index.postings.sparkSession
     return spark.createDataFrame(list(checks.items()), "check string, pass boolean")
 
@@ -100,3 +104,17 @@ def compare_layouts(layouts: dict[str, Callable[[str], DataFrame]], queries: Ite
 def peak_memory_mb() -> float:
     """Peak resident memory of the driver's Python process."""
     return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+
+
+def executor_memory(spark: SparkSession) -> DataFrame:
+    """(executor, heap_mb, off_heap_mb, execution_mb): peaks that Spark has seen so far, the driver's own included.
+
+    A peak is known once an executor has sent a heartbeat or ended a stage; before, it is 0.
+    """
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    rows = []
+    for i in range(found.size()):
+        e, peaks = found.apply(i), found.apply(i).peakMemoryMetrics()
+        mb = lambda name: peaks.get().getMetricValue(name) / 2**20 if peaks.isDefined() else 0.0
+        rows.append((e.id(), mb("JVMHeapMemory"), mb("JVMOffHeapMemory"), mb("OnHeapExecutionMemory")))
+    return spark.createDataFrame(rows, "executor string, heap_mb double, off_heap_mb double, execution_mb double")

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.analysis import LETTERS, LETTERS_PORTER, WHITESPACE_PORTER
+from quillspark.functions.analysis import LETTERS, LETTERS_PORTER, WHITESPACE_PORTER, Analyzer, base_name
+from quillspark.functions.porter_sql import stems_sql
 from quillspark.operators import codec, index, ranking, validation
 from quillspark.operators.stored import index_of, shared_folder
 from quillspark.plans import boolean
-from quillspark.plans.engine import SearchEngine
+from quillspark.plans.engine import SearchEngine, prompt
 from quillspark.sources import files
 from quillspark.streaming.segments import index_stream, read_segments
 
@@ -28,6 +29,8 @@ dl AS (SELECT d.doc_id, count(t.term) AS dl FROM documents d LEFT JOIN t ON d.do
 c AS (SELECT count(*) FILTER (dl > 0) AS n_docs, count(*) AS n_files, CAST(sum(dl) AS BIGINT) AS total_tokens, sum(dl) / count(*) AS avgdl FROM dl),
 df AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY term)
 """
+# The same over stems.
+STEMMED = BASE.replace("\nt AS (", "\nu AS (", 1).replace("\np AS (", "\n" + stems_sql("SELECT term FROM u") + ",\nt AS (SELECT u.doc_id, s.stem AS term FROM u JOIN stems s ON s.term = u.term),\np AS (", 1)
 
 
 def register(oracle: str | None = None):
@@ -83,7 +86,7 @@ def term_df(spark, sf_dir):
 
 @register(BASE + "SELECT term, doc_id, tf FROM p")
 def postings_tf(spark, sf_dir):
-    return index.count_postings(documents(spark, sf_dir), LETTERS)
+    return index.count_postings(documents(spark, sf_dir), LETTERS).drop("dl")
 
 
 @register(BASE + "SELECT term, string_agg(CAST(doc_id AS VARCHAR), ', ' ORDER BY CAST(doc_id AS VARCHAR)) AS postings FROM p GROUP BY term")
@@ -96,15 +99,14 @@ def vocab_top_df(spark, sf_dir):
     return plain_index(spark, sf_dir).term_stats.orderBy(F.desc("df"), "term").limit(50).select("term", "df")
 
 
-@register(BASE + "SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS term_id FROM df WHERE df >= 20")
-def term_ids(spark, sf_dir):
-    lists = index.inverted_lists(plain_index(spark, sf_dir).postings)
-    return codec.encoded_index(lists.where(F.size("postings") >= 20)).select("term", "term_id")
+@register(BASE + "SELECT term FROM df")
+def vocabulary(spark, sf_dir):
+    return plain_index(spark, sf_dir).vocabulary()
 
 
 @register(BASE + "SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS term_id FROM df")
-def term_ids_all(spark, sf_dir):
-    return codec.encoded_index(index.inverted_lists(plain_index(spark, sf_dir).postings)).select("term", "term_id")
+def term_ids(spark, sf_dir):
+    return codec.term_table(plain_index(spark, sf_dir).postings).select("term", "term_id")
 
 
 @register(BASE + "SELECT d.doc_id, q.term, coalesce(p.tf, 0) AS tf, dl.dl FROM documents d CROSS JOIN (VALUES ('this'), ('nosuchword')) q(term) LEFT JOIN p ON p.doc_id = d.doc_id AND p.term = q.term JOIN dl ON dl.doc_id = d.doc_id")
@@ -125,12 +127,18 @@ FROM l WINDOW o AS (ORDER BY term), b AS (ORDER BY term ROWS BETWEEN UNBOUNDED P
 
 @register(BASE + _OFFSETS)
 def term_offsets(spark, sf_dir):
-    return codec.encoded_index(index.inverted_lists(plain_index(spark, sf_dir).postings)).drop("data")
+    return codec.term_table(plain_index(spark, sf_dir).postings).drop("df")
+
+
+@register(BASE + """, o AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS i, sum(length(term)) OVER (ORDER BY term) - length(term) AS a FROM df)
+SELECT CAST(min(a) AS BIGINT) AS start, string_agg(term, '' ORDER BY term) AS text FROM o GROUP BY i // 10000""")
+def dictionary_string(spark, sf_dir):
+    return codec.dictionary_string(plain_index(spark, sf_dir).postings)
 
 
 @register(BASE + """SELECT term, lower(format('{:08x}', count(*)) || string_agg(format('{:08x}', strlen(CAST(doc_id AS VARCHAR))) || lower(hex(encode(CAST(doc_id AS VARCHAR)))), '' ORDER BY CAST(doc_id AS VARCHAR))) AS data FROM p GROUP BY term""")
 def postings_codec(spark, sf_dir):
-    return codec.encoded_index(index.inverted_lists(plain_index(spark, sf_dir).postings)).select("term", F.lower(F.hex("data")).alias("data"))
+    return codec.encoded_index(plain_index(spark, sf_dir).postings).select("term", F.lower(F.hex("data")).alias("data"))
 
 
 def _round_trip(lists: DataFrame) -> DataFrame:
@@ -138,14 +146,16 @@ def _round_trip(lists: DataFrame) -> DataFrame:
     return back.select("term", F.array_join("postings", ", ").alias("postings"))
 
 
-@register(BASE + "SELECT term, string_agg(CAST(doc_id AS VARCHAR), ', ' ORDER BY CAST(doc_id AS VARCHAR)) AS postings FROM p GROUP BY term HAVING count(*) <= 100")
+@register(BASE + "SELECT term, string_agg(CAST(doc_id AS VARCHAR), ', ' ORDER BY CAST(doc_id AS VARCHAR)) AS postings FROM p GROUP BY term")
 def codec_round_trip(spark, sf_dir):
-    return _round_trip(index.inverted_lists(plain_index(spark, sf_dir).postings).where(F.size("postings") <= 100))
+    return _round_trip(index.inverted_lists(plain_index(spark, sf_dir).postings))
 
 
-@register(BASE + "SELECT term, string_agg(CAST(doc_id AS VARCHAR), ', ' ORDER BY CAST(doc_id AS VARCHAR)) AS postings FROM p GROUP BY term")
-def codec_round_trip_all(spark, sf_dir):
-    return _round_trip(index.inverted_lists(plain_index(spark, sf_dir).postings))
+@register(BASE + "SELECT term, CAST(doc_id AS VARCHAR) AS doc_id FROM p")
+def chunk_round_trip(spark, sf_dir):
+    path = f"{shared_folder(spark)}/chunks"
+    codec.encoded_chunks(plain_index(spark, sf_dir).postings).write.parquet(path)
+    return codec.decode_chunks(spark.read.parquet(path))
 
 
 @register(BASE + """, s AS (
@@ -169,6 +179,74 @@ def text_index_round_trip(spark, sf_dir):
     return files.read_text_index(spark, path).select("term", F.array_join("postings", ", ").alias("postings"))
 
 
+@register(BASE + "SELECT term, doc_id, tf FROM p")
+def segment_write(spark, sf_dir):
+    path = f"{shared_folder(spark)}/segment"
+    files.write_segment(index.count_postings(documents(spark, sf_dir), LETTERS), path)
+    return spark.read.parquet(path).select("term", "doc_id", "tf")
+
+
+# --- files --------------------------------------------------------------------------
+
+
+def _as_files(spark, sf_dir, charset: str = "UTF-8") -> str:
+    """Every document as a file of its own; its id is in the name of the file's folder."""
+    path = f"{shared_folder(spark)}/files"
+    files.write_files(documents(spark, sf_dir).select(F.col("doc_id").alias("name"), F.encode("text", charset).alias("content")), path)
+    return f"{path}/*"
+
+
+def _id_of(path: Column) -> Column:
+    return F.regexp_extract(path, "name=([0-9-]+)/", 1).cast("long")
+
+
+@register("SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS length FROM documents")
+def listed_files(spark, sf_dir):
+    return files.list_files(spark, _as_files(spark, sf_dir)).select(_id_of(F.col("path")).alias("doc_id"), "length")
+
+
+@register(BASE + "SELECT doc_id, dl FROM dl")
+def strict_files(spark, sf_dir):
+    docs = files.read_corpus(spark, _as_files(spark, sf_dir), strict=True)
+    return index.document_lengths(docs, LETTERS).select(_id_of(F.col("doc_id")).alias("doc_id"), "dl")
+
+
+# As Latin-1, letters beyond ASCII are no UTF-8: dropped when decoding is lenient, else the document has failed.
+_ASCII = r"regexp_replace(text, '[^\x00-\x7F]', '', 'g')"
+
+
+@register(r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(""" + _ASCII + r"""), '\s+'), lambda x: x <> '') AS xs FROM documents)
+SELECT doc_id, CAST(len(xs) AS BIGINT) AS n_tokens, md5(array_to_string(xs, ' ')) AS tokens_md5 FROM w""")
+def lenient_files(spark, sf_dir):
+    docs = files.read_corpus(spark, _as_files(spark, sf_dir, "ISO-8859-1"))
+    w = docs.select(_id_of(F.col("doc_id")).alias("doc_id"), Analyzer("whitespace").surface(F.col("text")).alias("w"))
+    return w.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.md5(F.encode(F.array_join("w", " "), "UTF-8")).alias("tokens_md5"))
+
+
+@register(BASE + r"""SELECT dl.doc_id, CASE WHEN regexp_matches(text, '[^\x00-\x7F]') THEN 1 ELSE dl END AS dl, regexp_matches(text, '[^\x00-\x7F]') AS failed
+FROM dl JOIN documents d ON d.doc_id = dl.doc_id""")
+def failed_documents(spark, sf_dir):
+    docs = files.read_quarantined(spark, _as_files(spark, sf_dir, "ISO-8859-1"))
+    built = index.build_index(docs, LETTERS).write(f"{shared_folder(spark)}/index")
+    return built.doc_stats.select(_id_of(F.col("doc_id")).alias("doc_id"), "dl", "failed")
+
+
+@register("SELECT doc_id, concat(doc_id, '-', source, '.txt') AS name FROM documents")
+def display_names(spark, sf_dir):
+    path = F.concat(F.lit("mail/in/"), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("-"), F.col("source"), F.lit(".txt"))
+    return documents(spark, sf_dir).select("doc_id", base_name(path).alias("name"))
+
+
+@register("SELECT 'mail' AS input_directory, 50000 AS block_size, 'index.txt' AS output_file")
+def settings(spark, sf_dir):
+    path = f"{shared_folder(spark)}/settings"
+    text = "[Settings]\ninput_directory = mail\nblock_size = 50000\noutput_file = index.txt"
+    spark.range(1).select(F.lit(text).alias("value")).write.text(path)
+    s = files.read_settings(path, spark)
+    return spark.range(1).select(F.lit(s.input_directory).alias("input_directory"), F.lit(s.block_size).alias("block_size"), F.lit(s.output_file).alias("output_file"))
+
+
 @register(BASE + "SELECT term, df, cf FROM df")
 def segments_index(spark, sf_dir):
     docs = documents(spark, sf_dir)
@@ -238,7 +316,7 @@ for _name, _text, _set in (
 # --- ranked search ------------------------------------------------------------------
 
 
-def _score_sql(method: str, bag: dict[str, int], condition: str) -> str:
+def _score_sql(method: str, bag: dict[str, int], condition: str, base: str = BASE) -> str:
     """CTE ``r`` (doc_id, score) in BASE's terms; the bag has query counts."""
     values = ", ".join(f"('{t}', {n})" for t, n in bag.items())
     idf = "ln((c.n_docs - df.df + 0.5) / (df.df + 0.5) + 1)" if method == "bm25" else "ln(c.n_docs / df.df)"
@@ -248,7 +326,7 @@ def _score_sql(method: str, bag: dict[str, int], condition: str) -> str:
         "vector": "CASE WHEN sum((p.tf * q.w) ** 2) > 0 AND any_value(z.q2) > 0 THEN sum(p.tf * q.w * q.n * q.w) / sqrt(sum((p.tf * q.w) ** 2)) / sqrt(any_value(z.q2)) ELSE 0 END",
         "none": "0.0", "other": "1.0",
     }[method]
-    return BASE + f""", q AS (SELECT v.term, v.n, {idf} AS w FROM (VALUES {values}) v(term, n) JOIN df ON df.term = v.term, c),
+    return base + f""", q AS (SELECT v.term, v.n, {idf} AS w FROM (VALUES {values}) v(term, n) JOIN df ON df.term = v.term, c),
 z AS (SELECT sum((n * w) ** 2) AS q2 FROM q),
 m AS (SELECT doc_id FROM (SELECT doc_id, {condition} AS hit FROM p GROUP BY doc_id) WHERE hit),
 r AS (SELECT m.doc_id, {score} AS score FROM m JOIN dl ON dl.doc_id = m.doc_id CROSS JOIN c CROSS JOIN z
@@ -381,7 +459,19 @@ def fixture_scores(spark, sf_dir):
     return validation.all_scores(fixture_engine(spark), ["apple", "rare_term", "apple banana"]).select("method", "query", "doc_id", six("score").alias("score"))
 
 
-@register()
+# The checks that each method has for each query of the fixture; all hold.
+PRINCIPLES = [
+    ("tfidf", "apple", "frequent word ranks high"), ("tfidf", "apple", "higher frequency first"),
+    ("tfidf", "rare_term", "all documents with the rare word"),
+    ("tfidf", "apple banana", "frequent word ranks high"), ("tfidf", "apple banana", "both words rank high"), ("tfidf", "apple banana", "higher frequency first"),
+    ("bm25", "apple", "frequent word ranks high"), ("bm25", "rare_term", "all documents with the rare word"),
+    ("bm25", "apple banana", "frequent word ranks high"), ("bm25", "apple banana", "both words rank high"),
+    ("vector", "rare_term", "all documents with the rare word"),
+    ("vector", "apple banana", "both words rank high"), ("vector", "apple banana", "diverse documents near the top"),
+]
+
+
+@register("SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{q}', '{c}', true)" for m, q, c in PRINCIPLES) + ') v(method, query, "check", pass)')
 def fixture_principles(spark, sf_dir):
     out = None
     for m in validation.SCORED:
@@ -391,15 +481,85 @@ def fixture_principles(spark, sf_dir):
     return out
 
 
+@register("SELECT count(*) AS n_methods, true AS ascending, true AS measured FROM (VALUES ('none'), ('tfidf'), ('bm25'), ('vector')) v(method)")
+def latency_report(spark, sf_dir):
+    """Mean seconds per method are measured and come in ascending order; their values are no result."""
+    rows = validation.method_latency(SearchEngine(plain_index(spark, sf_dir)), ["this AND with", "was OR are"])
+    order = F.array_agg("mean_seconds")
+    return rows.agg(F.count("*").alias("n_methods"), (order == F.array_sort(order)).alias("ascending"), F.bool_and(F.col("mean_seconds") > 0).alias("measured"))
+
+
+@register(BASE + """SELECT layout, q.term AS query, df.df AS found, true AS measured
+FROM (VALUES ('rows'), ('lists'), ('binary')) l(layout) CROSS JOIN (VALUES ('this'), ('with')) q(term) JOIN df ON df.term = q.term""")
+def layout_report(spark, sf_dir):
+    """Postings of a term from three layouts: rows, lists and the binary form."""
+    i, root = plain_index(spark, sf_dir), shared_folder(spark)
+    index.inverted_lists(i.postings).write.parquet(f"{root}/lists")
+    codec.encoded_chunks(i.postings).write.parquet(f"{root}/binary")
+    lists, binary = spark.read.parquet(f"{root}/lists"), spark.read.parquet(f"{root}/binary")
+    layouts = {
+        "rows": lambda q: i.term_postings(q).select("doc_id"),
+        "lists": lambda q: lists.where(F.col("term") == q).select(F.explode("postings").alias("doc_id")),
+        "binary": lambda q: codec.decode_chunks(binary.where(F.col("term") == q)).select("doc_id"),
+    }
+    found = None
+    for name, f in layouts.items():
+        for q in ("this", "with"):
+            one = f(q).agg(F.count("*").alias("found")).select(F.lit(name).alias("layout"), F.lit(q).alias("query"), "found")
+            found = one if found is None else found.unionByName(one)
+    seconds = validation.compare_layouts(layouts, ["this", "with"], spark)
+    return found.join(seconds, ["layout", "query"]).select("layout", "query", "found", ((F.col("seconds") > 0) & (F.col("times") > 0)).alias("measured"))
+
+
+@register(BASE + """SELECT n_files, CAST(ceil(total_tokens / 5001) AS BIGINT) AS n_blocks, true AS times_measured, true AS driver_measured, true AS executors_measured FROM c""")
+def build_report(spark, sf_dir):
+    """The report of a build: how many files and blocks; that its times and memory were measured."""
+    docs, path = documents(spark, sf_dir), f"{shared_folder(spark)}/index"
+    built = []
+    seconds = {"listing": validation.timed(docs.count), "indexing": validation.timed(lambda: built.append(index.build_index(docs, LETTERS).write(path)))}
+    n_blocks = index.block_stats(built[0].doc_stats, 5000).count()
+    heap = validation.executor_memory(spark).agg(F.max("heap_mb")).first()[0]
+    report = files.metrics_report(spark, seconds | {"total": sum(seconds.values())}, {"driver_peak": validation.peak_memory_mb(), "executor_heap_peak": heap}, n_blocks)
+    return report.select(
+        F.lit(built[0].corpus["n_files"]).alias("n_files"), "n_blocks", ((F.col("listing_s") > 0) & (F.col("indexing_s") > 0)).alias("times_measured"),
+        (F.col("driver_peak_mb") > 1).alias("driver_measured"), (F.col("executor_heap_peak_mb") >= 0).alias("executors_measured"))
+
+
+_PROMPT = _score_sql("bm25", {"this": 1, "with": 1}, _AND)
+
+
+@register(_PROMPT + """, o AS (SELECT row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS i, row_number() OVER (ORDER BY doc_id) AS j, doc_id FROM r),
+n AS (SELECT count(*) AS n FROM r)
+SELECT CAST(line AS INTEGER) AS line, said FROM (
+  SELECT 0 AS line, 'ranking: bm25' AS said
+  UNION ALL SELECT i, i || '. ' || doc_id FROM o WHERE i <= 10
+  UNION ALL SELECT 11, '... and ' || (n - 10) || ' more' FROM n WHERE n > 10
+  UNION ALL SELECT 11 + a.i, a.i || '. ' || a.doc_id || ' | ' || b.doc_id FROM o a JOIN o b ON b.j = a.i WHERE a.i <= 5
+  UNION ALL SELECT 17, 'no documents'
+  UNION ALL SELECT 18, 'ranking: tfidf'
+  UNION ALL SELECT 19, 'not a query: NOT lacks an operand in ' || chr(39) || 'NOT' || chr(39))""")
+def prompt_session(spark, sf_dir):
+    """What the prompt answers to a session of all its commands."""
+    asked = iter(["!ranking bm25", "this with", "!compare this with", "nosuchword", "!ranking nonsense", "NOT", "!quit"])
+    said: list[str] = []
+    prompt(SearchEngine(plain_index(spark, sf_dir)), lambda _: next(asked), said.append)
+    return spark.createDataFrame(list(enumerate(said)), "line int, said string")
+
+
 # --- stemmed ------------------------------------------------------------------------
 
 
-@register()
+@register(STEMMED + "SELECT term, df, cf FROM df")
 def stemmed_term_df(spark, sf_dir):
     return index_of(spark, sf_dir, LETTERS_PORTER).term_stats
 
 
-@register()
+@register(STEMMED + "SELECT term, doc_id, tf FROM p")
+def stemmed_postings(spark, sf_dir):
+    return index_of(spark, sf_dir, LETTERS_PORTER).postings.drop("dl")
+
+
+@register(_score_sql("bm25", {"thi": 1, "with": 1}, f"{_flag('thi')} AND {_flag('with')}", STEMMED) + "SELECT row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank, doc_id, round(score, 6) AS score FROM r ORDER BY 1 LIMIT 10")
 def stemmed_topk_bm25(spark, sf_dir):
     return SearchEngine(index_of(spark, sf_dir, LETTERS_PORTER), "bm25").top("this with").withColumn("score", six("score"))
 

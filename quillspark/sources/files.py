@@ -18,9 +18,12 @@ class Settings:
     output_file: str
 
 
-def read_settings(path: str = "config.ini") -> Settings:
+def read_settings(path: str = "config.ini", spark: SparkSession | None = None) -> Settings:
+    """Settings of a file of the driver, or, given a session, of one that Spark's readers reach."""
     parser = configparser.ConfigParser()
-    if not parser.read(path):
+    if spark is not None:
+        parser.read_string("\n".join(r[0] for r in spark.read.text(path).collect()))
+    elif not parser.read(path):
         raise FileNotFoundError(path)
     s = parser["Settings"]
     return Settings(s["input_directory"], int(s["block_size"]), s["output_file"])
@@ -54,8 +57,9 @@ def read_text_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def text_index_postings(lists: DataFrame) -> DataFrame:
-    """Postings rows (term, doc_id, tf) of a text index, which knows no counts: tf is 1."""
-    return lists.select("term", F.explode("postings").alias("doc_id")).distinct().withColumn("tf", F.lit(1).cast("long"))
+    """Postings rows (term, doc_id, tf, dl) of a text index, which knows no counts: tf is 1 and dl 0."""
+    rows = lists.select("term", F.explode("postings").alias("doc_id")).distinct().withColumn("tf", F.lit(1).cast("long"))
+    return rows.withColumn("dl", F.lit(0).cast("long"))
 
 
 def write_text_index(postings: DataFrame, path: str) -> None:
@@ -69,6 +73,17 @@ def write_segment(postings: DataFrame, path: str) -> None:
     postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("append").parquet(path)
 
 
+def write_files(texts: DataFrame, path: str, name: str = "name", content: str = "content") -> None:
+    """A directory with one file for each row, named by the column ``name``; ``content`` is text or bytes.
+
+    Files end with a line feed. Each lies in a folder ``name=...`` of its own, which
+    ``read_corpus`` and its like take as ``path/*``.
+    """
+    raw = texts.select(F.col(name).cast("string").alias("name"), F.col(content).cast("string").alias("value"))
+    # Rows of one name lie together, so a folder has one file.
+    raw.repartition("name").write.partitionBy("name").mode("overwrite").text(path)
+
+
 # The documents of the ranking fixture.
 RANKING_DOCS = [
     ("doc1.txt", "apple apple apple banana"),

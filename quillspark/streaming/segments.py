@@ -34,7 +34,7 @@ def read_segments(spark: SparkSession, path: str, analyzer: Analyzer = LETTERS_P
     lengths = spark.read.parquet(f"{path}/doc_stats")
     latest = lengths.groupBy("doc_id").agg(F.max(F.struct("batch", "dl", "failed")).alias("x")).select("doc_id", "x.*")
     postings = spark.read.parquet(f"{path}/postings").join(latest.select("doc_id", "batch"), ["doc_id", "batch"], "left_semi")
-    postings = merge_segments([postings.select("term", "doc_id", "tf")])
+    postings = merge_segments([postings.select("term", "doc_id", "tf", "dl")])
     doc_stats = latest.select("doc_id", "dl", "failed")
     return Index(postings, doc_stats, term_stats(postings), corpus_stats(doc_stats), analyzer, population)
 

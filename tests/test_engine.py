@@ -1,3 +1,5 @@
+import io
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,11 +85,17 @@ def test_codec_and_sizes(fixture_index):
     assert all(r.postings == r.b for r in back)
     r = codec.size_report(fixture_index.postings).first()
     assert r.compressed_size - r.original_size == 16 * 10 + 4 * 24 and r.ratio < 1
-    coded = codec.encoded_index(lists).orderBy("term").collect()
+    coded = codec.encoded_index(fixture_index.postings).orderBy("term").collect()
     at = start = 0
     for i, x in enumerate(coded):
         assert (x.term_id, x.start, x.offset) == (i, start, at)
         start, at = start + len(x.term), at + len(x.data)
+    whole = b"".join(bytes(x.data) for x in coded)
+    chunks = codec.encoded_chunks(fixture_index.postings.repartition(7))
+    rows = chunks.collect()
+    assert sum(len(c.data) for c in rows) == len(whole) and all(whole[c.offset : c.offset + len(c.data)] == bytes(c.data) for c in rows)
+    assert codec.decode_chunks(chunks).count() == 24
+    assert codec.dictionary_string(fixture_index.postings).first().text == "".join(x.term for x in coded)
 
 
 @pytest.mark.parametrize("size,blocks", [(10, 3), (30, 1), (0, 31)])
@@ -175,3 +183,48 @@ def test_segments_replace_earlier_versions(spark, tmp_path):
     i = read_segments(spark, path, LETTERS)
     assert {(r.term, r.doc_id) for r in i.postings.collect()} == {("apple", "a"), ("tart", "a"), ("banana", "b")}
     assert compact(spark, path, str(tmp_path / "out"), LETTERS).corpus.n_docs == 2
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    """Build if missing, search, compare methods, prompt: all from one settings file."""
+    from quillspark.__main__ import main
+
+    monkeypatch.setattr(spark, "stop", lambda: None)
+    docs = tmp_path / "mail"
+    docs.mkdir()
+    (docs / "a.txt").write_text("apple pie with cream")
+    (docs / "b.txt").write_text("apple tart")
+    (tmp_path / "c.ini").write_text(f"[Settings]\ninput_directory = {docs}\nblock_size = 5\noutput_file = {tmp_path}/index.txt\n")
+    config = str(tmp_path / "c.ini")
+    main(["index", config])
+    assert (tmp_path / "index.txt.tables").is_dir()
+    main(["search", config, "apple", "AND", "cream", "--ranking", "bm25"])
+    assert "a.txt" in capsys.readouterr().out
+    main(["bench", config, "apple"])
+    assert "mean_seconds" in capsys.readouterr().out
+    monkeypatch.setattr("sys.stdin", io.StringIO("apple\n!quit\n"))
+    main(["search", config])
+    out = capsys.readouterr().out
+    assert "a.txt" in out and "b.txt" in out
+
+
+def test_memory_and_written_files(spark, tmp_path):
+    rows = validation.executor_memory(spark).collect()
+    assert rows and all(r.heap_mb >= 0 for r in rows)
+    texts = spark.createDataFrame([("x", bytearray(b"ba\xffnana")), ("y", bytearray("\u00e9 a".encode()))], "name string, content binary")
+    files.write_files(texts, str(tmp_path / "f"))
+    got = {r.doc_id.split("name=")[1][0]: r.text for r in files.read_corpus(spark, str(tmp_path / "f" / "*")).collect()}
+    assert got == {"x": "banana\n", "y": "\u00e9 a\n"}
+    assert {r.text for r in files.read_quarantined(spark, str(tmp_path / "f" / "*")).collect()} == {None, "\u00e9 a\n"}
+
+
+def test_running_sums(spark):
+    from quillspark.operators.running import running_sums
+
+    df = spark.range(5000).selectExpr("id * 7 % 5000 as k", "id % 11 as n").repartition(6)
+    got = sorted((r.k, r.n, r.before) for r in running_sums(df, ["k"], {"before": "n"}).collect())
+    total = 0
+    for k, n, before in got:
+        assert before == total
+        total += n
+    assert running_sums(df.limit(0), ["k"], {"before": "n"}).count() == 0

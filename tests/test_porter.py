@@ -30,3 +30,23 @@ def test_column_equals_function(spark):
     words = ["apple", "running", "apple", "skies", "a"]
     df = spark.createDataFrame([(w,) for w in words], "w string")
     assert [r.s for r in df.select(stem_column(F.col("w")).alias("s")).collect()] == [stem(w) for w in words]
+
+
+def test_sql_form_equals_the_function():
+    """The oracle's chain of CTEs against the stemmer, on words made of all suffixes."""
+    import random
+
+    import duckdb
+
+    from quillspark.functions.porter import STEP2, STEP3, STEP4
+    from quillspark.functions.porter_sql import stems_sql
+
+    rng = random.Random(1)
+    ends = [a for a, _ in STEP2 + STEP3] + STEP4 + ["ed", "ing", "s", "ies", "ied", "eed", "y", "e", "ll", "sses", "ss", ""]
+    words = {w for line in PAIRS.split("\n") for p in line.split("|") for w in p.split()}
+    words |= {"".join(rng.choice("abcdeiolstyyzvx") for _ in range(rng.randint(1, 6))) + "".join(rng.choice(ends) for _ in range(rng.randint(0, 3))) for _ in range(20_000)}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE d (term VARCHAR)")
+    con.execute("INSERT INTO d SELECT unnest(?)", [sorted(words)])
+    got = dict(con.execute("WITH " + stems_sql("SELECT term FROM d") + " SELECT term, stem FROM stems").fetchall())
+    assert got == {w: stem(w) for w in words}
