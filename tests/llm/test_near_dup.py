@@ -118,3 +118,21 @@ def test_ids_that_are_no_integers(spark):
     assert _got(near_dup.query(docs)) == {7: (7, 7, True), 9: (7, 7, False)}
     with pytest.raises(Exception):
         near_dup.query(docs.union(spark.createDataFrame([("x", same)], docs.schema))).collect()
+
+
+def test_recall_of_links_at_the_threshold(spark):
+    """Pairs of similarity 0.80 to 0.82, each a component of its own: all but 1 in 10000 should be found."""
+    rng, rows = random.Random(4), []
+    for i in range(400):
+        n = 90 + i % 60
+        words = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        # Each changed word in the middle costs two shingles of either side.
+        changed, copy = 0, list(words)
+        while 100 * (n - 1 - 2 * (changed + 1)) >= 80 * (n - 1 + 2 * (changed + 1)):
+            copy[3 + 3 * changed] = "x"
+            changed += 1
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    got = _got(near_dup.query(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    want = _brute([r[0] for r in rows], [r[1] for r in rows])
+    assert sum(not kept for *_, kept in want.values()) == 400
+    assert got == want
