@@ -451,7 +451,8 @@ def _golden_sql() -> str:
 
 
 def fixture_engine(spark: SparkSession) -> SearchEngine:
-    return SearchEngine(index.build_index(files.ranking_docs(spark), WHITESPACE_PORTER, "files"))
+    built = index.build_index(files.ranking_docs(spark), WHITESPACE_PORTER, "files")
+    return SearchEngine(built.write(f"{shared_folder(spark)}/fixture"))
 
 
 @register(_golden_sql())
@@ -473,10 +474,10 @@ PRINCIPLES = [
 
 @register("SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{q}', '{c}', true)" for m, q, c in PRINCIPLES) + ') v(method, query, "check", pass)')
 def fixture_principles(spark, sf_dir):
-    out = None
+    out, engine = None, fixture_engine(spark)
     for m in validation.SCORED:
         for q in ("apple", "rare_term", "apple banana"):
-            one = validation.validate_principles(fixture_engine(spark).with_ranking(m), q).select(F.lit(m).alias("method"), F.lit(q).alias("query"), "check", "pass")
+            one = validation.validate_principles(engine.with_ranking(m), q).select(F.lit(m).alias("method"), F.lit(q).alias("query"), "check", "pass")
             out = one if out is None else out.unionByName(one)
     return out
 
@@ -521,7 +522,7 @@ def build_report(spark, sf_dir):
     heap = validation.executor_memory(spark).agg(F.max("heap_mb")).first()[0]
     report = files.metrics_report(spark, seconds | {"total": sum(seconds.values())}, {"driver_peak": validation.peak_memory_mb(), "executor_heap_peak": heap}, n_blocks)
     return report.select(
-        F.lit(built[0].corpus["n_files"]).alias("n_files"), "n_blocks", ((F.col("listing_s") > 0) & (F.col("indexing_s") > 0)).alias("times_measured"),
+        F.lit(built[0].corpus["n_files"]).cast("long").alias("n_files"), "n_blocks", ((F.col("listing_s") > 0) & (F.col("indexing_s") > 0)).alias("times_measured"),
         (F.col("driver_peak_mb") > 1).alias("driver_measured"), (F.col("executor_heap_peak_mb") >= 0).alias("executors_measured"))
 
 
