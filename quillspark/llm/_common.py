@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -121,6 +122,23 @@ def broadcast(spark: SparkSession, value: object, limit: int):
     return spark.sparkContext.broadcast(value)
 
 
+_BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with Arrow batches of at most ``_BATCH_BYTES``.
+
+    Spark's own bound of 64 MB, with what buffers grow by, is much beside the memory of an
+    executor and of a worker. The bound is a setting of the session; a smaller one stays.
+    """
+    conf = df.sparkSession.conf
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)b?", conf.get(_BATCH_SETTING).strip().lower()).groups()
+    if not 0 < int(number) * 1024 ** " kmgtp".index(unit or " ") <= _BATCH_BYTES:
+        conf.set(_BATCH_SETTING, str(_BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def running_offsets(counts: DataFrame, bucket: str, count: str, by: list[str], block: int = 512) -> DataFrame:
     """Add ``before``: the sum of ``count`` over smaller buckets of the same ``by`` group.
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm._common import BoundedMemory, broadcast, remembered
+from quillspark.llm._common import BoundedMemory, broadcast, mapped, remembered
 
 # A byte b is the letter U+0100 + b in the pieces: none of these is white space.
 _SHIFT = 0x100
@@ -182,7 +182,7 @@ def _mapped(df: DataFrame, rows, columns: list[T.StructField], step: int = 256)
                 part = batch.slice(at, step)
                 yield _with_column(part, rows(part))
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def _groups(texts: list[str | None]) -> Iterator[list[str]]:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm._common import broadcast
+from quillspark.llm._common import broadcast, mapped
 
 UNKNOWN = "unknown"
 WINDOW = 48
@@ -229,7 +229,7 @@ def background(docs: DataFrame, rows: int = 1500, text: str = "text") -> list[li
                     out.append(b" ".join(w[first : first + WINDOW]))
                 yield pa.RecordBatch.from_pydict({"h": batch.column("h"), "w": pa.array(out, pa.binary())})
 
-    found = hashed.mapInArrow(windows, "h long, w binary").orderBy("h", "w").limit(2 * rows).collect()
+    found = mapped(hashed, windows, "h long, w binary").orderBy("h", "w").limit(2 * rows).collect()
     held = [{(a, b) for a, b in zip(w, w[1:])} for v in TEMPLATES.values() for x in v for w in [words_of(x)]]
 
     def notice(w: list[bytes]) -> bool:
@@ -423,7 +423,7 @@ def scan(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 out |= {n: pa.array([getattr(x, n) for x in found], kinds[kind]) for n, kind in _FIELDS}
                 yield pa.RecordBatch.from_pydict(out)
 
-    return df.select(*[f.name for f in others], text).mapInArrow(run, T.StructType(others + [T.StructField(n, k) for n, k in _FIELDS]))
+    return mapped(df.select(*[f.name for f in others], text), run, T.StructType(others + [T.StructField(n, k) for n, k in _FIELDS]))
 
 
 def query(docs: DataFrame) -> DataFrame:

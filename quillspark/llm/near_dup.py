@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import BoundedMemory, Scratch
+from quillspark.llm._common import BoundedMemory, Scratch, mapped
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
@@ -108,7 +108,7 @@ def signatures(docs: DataFrame, row_key: str, text: str, width: int, m: int, k:
                     keys.append(partial_keys(s, family, m, k).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n_shingles": pa.array(sizes, pa.int64()), "f1": pa.array(high, pa.int64()), "f2": pa.array(low, pa.int64()), "keys": pa.array(keys, pa.binary())})
 
-    return docs.select(F.col(row_key).cast("long").alias("id"), text).mapInArrow(run, "id long, n_shingles long, f1 long, f2 long, keys binary")
+    return mapped(docs.select(F.col(row_key).cast("long").alias("id"), text), run, "id long, n_shingles long, f1 long, f2 long, keys binary")
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +128,7 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 def tables(reps: DataFrame) -> DataFrame:
     """``key``, ``id``, ``n`` for the tensored buckets with ``n`` > 1 members."""
-    partial = _shared(reps.select("id", "keys").mapInArrow(_exploded, "id long, key long, second boolean"))
+    partial = _shared(mapped(reps.select("id", "keys"), _exploded, "id long, key long, second boolean"))
     # A set has at most m keys of either kind: these lists are short.
     by_id = partial.groupBy("id").agg(F.collect_list(F.when(~F.col("second"), F.col("key"))).alias("a"), F.collect_list(F.when(F.col("second"), F.col("key"))).alias("b"))
     crossed = by_id.select("id", F.explode("a").alias("x"), "b").select("id", "x", F.explode("b").alias("y"))
@@ -155,7 +155,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, row_key: str, text: str, width: int
                 yield pa.RecordBatch.from_pydict({"id": batch.column("c").take(pa.array(keep, pa.int64())), "hashes": pa.array(out, pa.binary())})
 
     named = docs.select(F.col(row_key).cast("long").alias("id"), text).join(ids, "id")
-    sets = scratch.keep(named.mapInArrow(run, "id long, hashes binary"))
+    sets = scratch.keep(mapped(named, run, "id long, hashes binary"))
     # Only wholly repeated rows give a set twice; without any, no set moves again.
     if sets.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return sets
@@ -208,7 +208,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     parts = degree.select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     centres = parts.join(sets.select(F.col("id").alias("u"), "hashes"), "u").select("u", "part", F.lit(None).cast("long").alias("v"), "hashes")
     both = rows.unionByName(centres).repartition("u", "part").sortWithinPartitions("u", "part", F.asc_nulls_first("v"))
-    return both.mapInArrow(_confirmer(percent), "u long, v long, linked boolean")
+    return mapped(both, _confirmer(percent), "u long, v long, linked boolean")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -331,7 +331,7 @@ def _apart(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int,
         return dealt.select("family", "x", "y", F.lit(side).alias("side"), "id", "root", "hashes")
 
     both = spread(full.where("root <> major"), 0, "q", "p", "x", "y").unionByName(spread(full, 1, "p", "q", "y", "x"))
-    return both.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "side").mapInArrow(_block_links(percent), "u long, v long")
+    return mapped(both.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "side"), _block_links(percent), "u long, v long")
 
 
 def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm._common import BoundedMemory, Scratch, broadcast, remembered
+from quillspark.llm._common import BoundedMemory, Scratch, broadcast, mapped, remembered
 
 _ENTRIES = 100_000  # remembered chunks a generation: at most 32 characters, so 0.5 kB each
 _PLAN_LIMIT = 32 << 20
@@ -173,9 +173,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, text: st
 
     out = T.StructType(others + new)
     if not ranks:
-        return docs.select(*[f.name for f in others], text).mapInArrow(run, out)
+        return mapped(docs.select(*[f.name for f in others], text), run, out)
     rank, ranked_out = _ranker(out, capacity, "length")
-    return docs.select(*[f.name for f in others], text).mapInArrow(lambda batches: rank(run(batches)), ranked_out)
+    return mapped(docs.select(*[f.name for f in others], text), lambda batches: rank(run(batches)), ranked_out)
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -279,7 +279,7 @@ def ranked(parts: DataFrame, capacity: int, length: str = "length") -> DataFrame
 
     Only meaningful once written to a table: the numbers are then data, whatever is run again.
     """
-    return parts.mapInArrow(*_ranker(parts.schema, capacity, length))
+    return mapped(parts, *_ranker(parts.schema, capacity, length))
 
 
 def assign(parts: DataFrame, capacity: int, length: str = "length") -> DataFrame:
@@ -312,7 +312,7 @@ def assign(parts: DataFrame, capacity: int, length: str = "length") -> DataFrame
 
     final = T.StructType(others + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     at = (F.col("_nth") + F.col("_before")).alias("_at")
-    return parts.join(base, ["_task", length]).select(*[f.name for f in others], at).mapInArrow(place, final)
+    return mapped(parts.join(base, ["_task", length]).select(*[f.name for f in others], at), place, final)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, text: str = "text", keep_ids: bool = True, plain_specials: bool = True) -> DataFrame:
