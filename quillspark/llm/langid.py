@@ -25,7 +25,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm._common import Scratch, broadcast, remembered
+from quillspark.llm._common import Scratch, broadcast, mapped, remembered
 
 ORDER = 4
 _PAD = b" "  # stands before a text
@@ -51,32 +51,31 @@ class Model:
     languages: list[str]
     order: int
     first: np.ndarray  # node of each byte
-    slots: np.ndarray  # hash table of 256 * parent + byte
+    second: np.ndarray  # node of each pair of bytes
+    slots: np.ndarray  # hash table of 256 * parent + byte, for longer strings
     child: np.ndarray  # its node at each slot
     cost: np.ndarray  # by node and language: of its last byte after the others, in bits
     escape: np.ndarray  # by node short enough to be a context
     temperature: float = 5.0
-    mask: int = field(init=False)
 
-    def __post_init__(self):
-        self.mask = len(self.slots) - 1
 
-
-def _hashed(keys: np.ndarray, mask: int) -> np.ndarray:
-    return ((keys * np.int64(-7046029254386353131)) >> np.int64(20)) & np.int64(mask)
+def _hashed(keys: np.ndarray, size: int) -> np.ndarray:
+    """Places in a table of ``size``, a power of two: the upper bits of a product."""
+    return (keys * np.uint32(0x9E3779B1)) >> np.uint32(33 - size.bit_length())
 
 
 def _table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An open hash table with linear probing, half full at most."""
-    size = 1 << max(4, (2 * len(keys)).bit_length())
-    slots, out = np.full(size, -1, np.int64), np.zeros(size, np.int32)
-    left, at = np.arange(len(keys)), _hashed(keys, size - 1)
+    """An open hash table with linear probing, a quarter full at most; no key is 0."""
+    size = 1 << max(4, (4 * len(keys)).bit_length())
+    slots, out = np.zeros(size, np.uint32), np.zeros(size, np.int32)
+    keys = keys.astype(np.uint32)
+    left, at = np.arange(len(keys)), _hashed(keys, size)
     while len(left):
-        free = slots[at] < 0
+        free = slots[at] == 0
         slots[at[free]] = keys[left[free]]
         placed = slots[at] == keys[left]
         out[at[placed]] = values[left[placed]]
-        left, at = left[~placed], (at[~placed] + 1) & (size - 1)
+        left, at = left[~placed], (at[~placed] + np.uint32(1)) & np.uint32(size - 1)
     return slots, out
 
 
@@ -87,7 +86,7 @@ def build(languages: list[str], grams: dict[int, tuple[np.ndarray, np.ndarray, n
     is a node of the same language, too, and so is its string without the last.
     """
     n_lang = len(languages)
-    first = np.zeros(256, np.int32)
+    first, second = np.zeros(256, np.int32), np.zeros(1 << 16, np.int32)
     costs, escapes, keys, values = [], [], [], []
     number, shorter, context_of = 1, None, None  # of the next node; of the strings one byte shorter
     for length in range(1, order + 2):
@@ -101,8 +100,11 @@ def build(languages: list[str], grams: dict[int, tuple[np.ndarray, np.ndarray, n
         else:
             parents, prefix = len(context_of), np.searchsorted(context_of, mine >> 8)
             below = shorter[np.searchsorted(context_of, mine & ((1 << 8 * (length - 1)) - 1))]
-            keys.append((number - parents + prefix) * 256 + (mine & 255))
-            values.append(number + np.arange(len(mine)))
+            if length == 2:
+                second[mine] = number + np.arange(len(mine))
+            else:
+                keys.append((number - parents + prefix) * 256 + (mine & 255))
+                values.append(number + np.arange(len(mine)))
         seen, kinds = np.zeros((parents, n_lang)), np.zeros((parents, n_lang))
         np.add.at(seen, prefix, count)
         np.add.at(kinds, prefix, count > 0)
@@ -118,7 +120,7 @@ def build(languages: list[str], grams: dict[int, tuple[np.ndarray, np.ndarray, n
         costs.append(cost)
         number, shorter, context_of = number + len(mine), cost, mine
     slots, child = _table(np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *values]))
-    return Model(languages, order, first, slots, child, np.vstack(costs).astype(np.float32), np.vstack(escapes).astype(np.float32))
+    return Model(languages, order, first, second, slots, child, np.vstack(costs).astype(np.float32), np.vstack(escapes).astype(np.float32))
 
 
 def _segments(raw: list[bytes], order: int) -> Iterator[tuple[int, bytes]]:
@@ -152,17 +154,18 @@ class Scorer:
 
     def _children(self, keys: np.ndarray) -> np.ndarray:
         m = self.m
-        at = _hashed(keys, m.mask)
+        at = _hashed(keys, len(m.slots))
         found = m.slots[at]
-        out = np.where(found == keys, m.child[at], 0)
-        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        hit = found == keys
+        out = m.child[at] * hit
+        open_ = np.flatnonzero(~hit & (found != 0))
         at = at[open_]
         while len(open_):
-            at = (at + 1) & m.mask
+            at = (at + np.uint32(1)) & np.uint32(len(m.slots) - 1)
             found, wanted = m.slots[at], keys[open_]
             hit = found == wanted
             out[open_[hit]] = m.child[at[hit]]
-            go_on = ~hit & (found >= 0)
+            go_on = ~hit & (found != 0)
             open_, at = open_[go_on], at[go_on]
         return out
 
@@ -172,15 +175,18 @@ class Scorer:
         node = m.first[data]  # of the string of the length so far that ends here
         longest = node.copy()
         escapes = []
-        for _ in range(m.order):
+        for length in range(2, m.order + 2):
             at = np.flatnonzero(node[:-1]) + 1
             context = node[at - 1]
-            child = self._children(context.astype(np.int64) * 256 + data[at])
+            if length == 2:
+                child = m.second[data[at - 1].astype(np.uint16) << np.uint16(8) | data[at]]
+            else:
+                child = self._children(context.astype(np.uint32) << np.uint32(8) | data[at])
             none = child == 0
             escapes.append((at[none], context[none]))
             node = np.zeros_like(node)
             node[at] = child
-            longest[at[~none]] = child[~none]
+            np.copyto(longest, node, where=node > 0)
         cost = m.cost[longest]
         for at, context in escapes:
             cost[at] += m.escape[context]
@@ -259,7 +265,7 @@ def _counter(order: int):
 
 def _nodes(sample: DataFrame, order: int, least_seen: int) -> DataFrame:
     """Strings that are nodes: lang, length, code, n, and how often the string before the last byte was seen."""
-    longest = sample.mapInArrow(_counter(order), "lang int, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    longest = mapped(sample, _counter(order), "lang int, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     lengths = longest.select("lang", "n", "code", F.explode(F.sequence(F.lit(1), F.lit(order + 1))).alias("length"))
     code = F.expr("code & (shiftleft(1L, 8 * length) - 1L)")
     grams = lengths.groupBy("lang", "length", code.alias("code")).agg(F.sum("n").alias("n"))
@@ -288,8 +294,8 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", row_key: str =
     sample = drawn.select("text", "of.lang", apart.alias("apart"))
     scratch = Scratch(spark)
     nodes = scratch.keep(_nodes(sample.where("not apart").select("text", "lang"), order, least_seen))
-    # A node has a cost for every language, an escape if it can be a context, and up to four slots.
-    room = min(model_bytes, _MODEL_LIMIT) // (8 * len(languages) + 48)
+    # A node has a cost for every language, an escape if it can be a context, and up to eight slots.
+    room = min(model_bytes, _MODEL_LIMIT) // (8 * len(languages) + 64)
     by_seen = nodes.where("length > 1").groupBy(F.floor(F.log2("seen")).alias("k")).agg(F.count("*").alias("n")).collect()
     level = max([0, *(r["k"] + 1 for r in by_seen if sum(x["n"] for x in by_seen if x["k"] >= r["k"]) > room)])
     got = nodes.where((F.col("length") == 1) | (F.col("seen") >= max(least_seen, 1 << level if level else 0))).select("lang", "length", "code", "n").toArrow()
@@ -320,7 +326,7 @@ def _temperature(labelled: DataFrame, model: Model) -> float:
                 loss[k] = -np.log2(np.outer(1 - _NOISES, p) + (_NOISES / bits.shape[1])[:, None]).sum(1)
             yield pa.RecordBatch.from_pydict({"k": np.arange(loss.size, dtype=np.int32), "loss": loss.ravel()})
 
-    losses = labelled.select("text", "lang").mapInArrow(run, "k int, loss double").groupBy("k").agg(F.sum("loss").alias("loss")).collect()
+    losses = mapped(labelled.select("text", "lang"), run, "k int, loss double").groupBy("k").agg(F.sum("loss").alias("loss")).collect()
     shared.unpersist()
     if not losses:
         return model.temperature
@@ -338,7 +344,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             names, scores = scorer.predict(batch.column(text))
             yield pa.RecordBatch.from_pydict({f.name: batch.column(f.name) for f in others} | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
 
-    return df.mapInArrow(run, T.StructType(others + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return mapped(df, run, T.StructType(others + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def remainder(key: str = "doc_id") -> Column:
