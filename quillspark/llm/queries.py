@@ -77,8 +77,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.query(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import runs
+
+    return runs.query(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_sharding, op3_packing, op4_bpe_codec, op5_near_dup, op6_chat_formatting, op7_topk_search, op8_secret_scan, op9_quality_rules, op10_language_id)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_license_scan, op2_sharding, op3_packing, op4_bpe_codec, op5_near_dup, op6_chat_formatting, op7_topk_search, op8_secret_scan,
+            op9_quality_rules, op10_language_id, op11_periodic_runs,
+        )
+    }
 
 
 OP6_SQL = r"""
