@@ -83,12 +83,18 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.query(table(spark, sf_dir, "documents"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import warc
+
+    return warc.query(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_license_scan, op2_sharding, op3_packing, op4_bpe_codec, op5_near_dup, op6_chat_formatting, op7_topk_search, op8_secret_scan,
-            op9_quality_rules, op10_language_id, op11_periodic_runs,
+            op9_quality_rules, op10_language_id, op11_periodic_runs, op13_warc,
         )
     }
 
@@ -128,4 +134,6 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": OP6_SQL, "op7_topk_search": OP7_SQL}
+    from quillspark.llm import warc
+
+    return {"op6_chat_formatting": OP6_SQL, "op7_topk_search": OP7_SQL, "op13_warc": warc.SQL}
