@@ -126,8 +126,8 @@ _BATCH_BYTES = 8 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def mapped(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` with Arrow batches of at most ``_BATCH_BYTES``.
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of at most ``_BATCH_BYTES`` from now on.
 
     Spark's own bound of 64 MB, with what buffers grow by, is much beside the memory of an
     executor and of a worker. The bound is a setting of the session; a smaller one stays.
@@ -136,7 +136,12 @@ def mapped(df: DataFrame, run, schema) -> DataFrame:
     number, unit = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)b?", conf.get(_BATCH_SETTING).strip().lower()).groups()
     if not 0 < int(number) * 1024 ** " kmgtp".index(unit or " ") <= _BATCH_BYTES:
         conf.set(_BATCH_SETTING, str(_BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+    return df
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with bounded batches."""
+    return bound_batches(df).mapInArrow(run, schema)
 
 
 def running_offsets(counts: DataFrame, bucket: str, count: str, by: list[str], block: int = 512) -> DataFrame:

@@ -83,6 +83,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.query(table(spark, sf_dir, "documents"))
 
 
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import align
+
+    return align.query(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import warc
 
@@ -94,7 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_license_scan, op2_sharding, op3_packing, op4_bpe_codec, op5_near_dup, op6_chat_formatting, op7_topk_search, op8_secret_scan,
-            op9_quality_rules, op10_language_id, op11_periodic_runs, op13_warc,
+            op9_quality_rules, op10_language_id, op11_periodic_runs, op12_token_align, op13_warc,
         )
     }
 
