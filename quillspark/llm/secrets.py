@@ -36,7 +36,8 @@ from quillspark.llm.quality import let
 
 MASK = "[SECRET]"
 _KEY = r"""(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)["']?[ \t]{0,3}[:=][ \t]{0,3}["']?)"""
-_BARE = r"(?<![\w+/=-])(?=[\w+/=-]{0,80}?[0-9])[\w+/=-]{16,}"
+# The digit may stand anywhere: letters before it are passed once, without going back.
+_BARE = r"(?<![\w+/=-])(?=[a-zA-Z_+/=-]*+[0-9])[\w+/=-]{16,}"
 CANDIDATE = rf"""{_KEY}[^\s"'<>]{{6,}}|{_BARE}"""
 _PREFIX = r"^(?:AKIA|ASIA|AIza|ghp_|gho_|github_pat_|glpat-|xox[abp]-|sk_live_|rk_live_|eyJ)"
 # Words and parts of placeholders, identifiers and paths that real secrets rarely hold.

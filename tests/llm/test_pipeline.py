@@ -90,3 +90,13 @@ def test_stages_take_odd_rows_and_clashing_columns(spark, odd_docs):
         assert {(r.score, r.kept) for r in out.collect()} <= {("own", 7)}
         assert stage(spark, docs.limit(0), DIR).count() == 0
     assert cp.STAGES[-1][1](spark, docs.limit(0), DIR).count() == 0
+
+
+def test_columns_named_like_the_stages_own(spark):
+    names = ["_before", "_judged", "_own_kept", "kept", "stats", "base_failed", "lang_pred", "Score", "findings", "_hash", "_bad", "root", "id", "component_id", "n_shingles", "values"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumns({n: F.lit(f"own {n}") for n in names})
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, DIR)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"own {n}" for r in rows for n in names)

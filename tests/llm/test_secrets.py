@@ -121,3 +121,11 @@ def test_plan_is_native(odd_docs, spark, model):
     df = secrets.redact(spark.range(3).select(F.lit("a").alias("text")), model)
     plan = secrets.scan(df, model)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_a_digit_may_stand_anywhere(spark, model):
+    long = "k" * 300_000
+    texts = ["a" * 85 + "7", "sk_live_" + "x" * 80 + "42", long + "1", long, "b" * 40 + " 5", "c" * 15 + "1", "d" * 14 + "1"]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    found = {r.doc_id: [f.value for f in r.findings] for r in secrets.scan(docs, model).collect()}
+    assert found == {0: [texts[0]], 1: [texts[1]], 2: [texts[2]], 3: [], 4: [], 5: [texts[5]], 6: []}
