@@ -13,7 +13,8 @@ Stages and their defined results for odd rows:
    without an id stay; repeated rows of one id stand or fall together.
 4. secret_scan masks confirmed secrets and brings n_chars up to date; no document goes.
 5. packing returns the packed pieces instead of documents.
-An empty table passes through every stage.
+An empty table passes through every stage; very long texts are judged and packed whole; ties
+fall as each operator's docstring says.
 """
 
 from __future__ import annotations
@@ -31,9 +32,20 @@ LEAST_SCORE = 0.5
 ORACLE_SQL = None
 
 
+def _unused(columns: list[str], name: str) -> str:
+    """A column name like ``name`` that none of ``columns`` has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def _filtered(docs: DataFrame, judged: Callable[[DataFrame], DataFrame], added: tuple[str, ...], condition) -> DataFrame:
     """Rows that ``judged`` finds good, with their own columns under their own names."""
-    aside = {c: f"_own_{i}_{c}" for i, c in enumerate(docs.columns) if c in added}
+    aside: dict[str, str] = {}
+    for c in docs.columns:
+        if c.lower() in added:
+            aside[c] = _unused([*docs.columns, *aside.values()], f"_own_{c}")
     kept = judged(docs.withColumnsRenamed(aside)).where(condition)
     return kept.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
@@ -46,7 +58,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rules = quality.learn(docs, table(spark, sf_dir, "labels"))
-    return _filtered(docs, lambda d: quality.judge(d, rules), ("stats", "base_failed", "kept"), F.col("kept"))
+    return _filtered(docs, lambda d: quality.judge(d, rules), ("stats", "base_failed", "kept", "_judged"), F.col("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +70,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = secrets.fit(spark, secrets.dictionary_words(public_tokenizers.path("word_bpe_49k.json")))
-    masked = secrets.redact(docs.withColumn("_before", F.col("text")), model)
-    same = F.col("_before").eqNullSafe(F.col("text"))
+    before = _unused(docs.columns, "_before")
+    masked = secrets.redact(docs.withColumn(before, F.col("text")), model)
+    same = F.col(before).eqNullSafe(F.col("text"))
     n_chars = F.when(same, F.col("n_chars")).otherwise(F.length("text").cast("long"))
     return masked.select(*[n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
