@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.analysis import LETTERS, LETTERS_PORTER, WHITESPACE_PORTER, Analyzer, base_name
 from quillspark.functions.porter_sql import stems_sql
-from quillspark.operators import codec, index, ranking, validation
+from quillspark.operators import codec, index, pruned, ranking, validation
 from quillspark.operators.stored import index_of, shared_folder
 from quillspark.plans import boolean
 from quillspark.plans.engine import SearchEngine, prompt
@@ -373,6 +373,21 @@ def topk_bm25(spark, sf_dir):
     return SearchEngine(plain_index(spark, sf_dir), "bm25").top("this with").withColumn("score", six("score"))
 
 
+def _pruned(spark, sf_dir, text: str, method: str) -> DataFrame:
+    blocks = pruned.build_blocks(plain_index(spark, sf_dir)).write(f"{shared_folder(spark)}/blocks")
+    return pruned.pruned_top(blocks, boolean.parse(text, LETTERS), 10, method).rows.withColumn("score", six("score"))
+
+
+@register(_score_sql("bm25", {"this": 1, "with": 1}, _AND) + "SELECT row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank, doc_id, round(score, 6) AS score FROM r ORDER BY 1 LIMIT 10")
+def topk_pruned(spark, sf_dir):
+    return _pruned(spark, sf_dir, "this with", "bm25")
+
+
+@register(_score_sql("tfidf", _BAG3, _ANY3) + "SELECT row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank, doc_id, round(score, 6) AS score FROM r ORDER BY 1 LIMIT 10")
+def topk_pruned_any(spark, sf_dir):
+    return _pruned(spark, sf_dir, "this OR with OR are", "tfidf")
+
+
 @register(_score_sql("bm25", _BAG3, _ANY3) + """SELECT lang, rank, doc_id, round(score, 6) AS score FROM (
 SELECT d.lang, r.doc_id, r.score, row_number() OVER (PARTITION BY d.lang ORDER BY round(score, 9) DESC, r.doc_id) AS rank FROM r JOIN documents d ON d.doc_id = r.doc_id) WHERE rank <= 5""")
 def topk_per_lang(spark, sf_dir):
