@@ -13,7 +13,7 @@ from quillspark.operators import codec, index, pruned, ranking, validation
 from quillspark.operators.stored import index_of, shared_folder
 from quillspark.plans import boolean
 from quillspark.plans.engine import SearchEngine, prompt
-from quillspark.sources import files
+from quillspark.sources import binary, files, lines
 from quillspark.streaming.segments import index_stream, read_segments
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,6 +179,29 @@ def text_index_round_trip(spark, sf_dir):
     return files.read_text_index(spark, path).select("term", F.array_join("postings", ", ").alias("postings"))
 
 
+@register(BASE + "SELECT term, CAST(doc_id AS VARCHAR) AS doc_id FROM p")
+def text_rows_round_trip(spark, sf_dir):
+    path = f"{shared_folder(spark)}/lines"
+    lines.write_lines(plain_index(spark, sf_dir).postings, path)
+    return lines.read_lines(spark, path)
+
+
+@register(BASE + "SELECT term, doc_id FROM p")
+def binary_round_trip(spark, sf_dir):
+    path = f"{shared_folder(spark)}/binary"
+    binary.write_binary(plain_index(spark, sf_dir).postings, path)
+    return binary.read_binary(spark, path)
+
+
+@register(BASE + "SELECT term, doc_id FROM p WHERE term IN (SELECT term FROM df ORDER BY md5(term) LIMIT 2000)")
+def binary_lookups(spark, sf_dir):
+    """The lists of 2000 terms, each found in the binary index on disk."""
+    path, i = f"{shared_folder(spark)}/binary", plain_index(spark, sf_dir)
+    binary.write_binary(i.postings, path)
+    terms = [r["term"] for r in i.term_stats.orderBy(F.md5(F.col("term").cast("binary")), "term").limit(2000).select("term").collect()]
+    return binary.read_binary(spark, path).where(F.col("term").isin(terms))
+
+
 @register(BASE + "SELECT term, doc_id, tf FROM p")
 def segment_write(spark, sf_dir):
     path = f"{shared_folder(spark)}/segment"

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators.index import inverted_lists
+from quillspark.sources.lines import write_lines
 
 
 @dataclass(frozen=True)
@@ -64,8 +64,7 @@ def text_index_postings(lists: DataFrame) -> DataFrame:
 
 def write_text_index(postings: DataFrame, path: str) -> None:
     """Lines ``term: id1, id2``, terms ascending over all part files in name order, ids in string order."""
-    line = F.concat("term", F.lit(": "), F.array_join("postings", ", "))
-    inverted_lists(postings).orderBy("term").select(line.alias("value")).write.mode("overwrite").text(path)
+    write_lines(postings, path)
 
 
 def write_segment(postings: DataFrame, path: str) -> None:
