@@ -5,7 +5,8 @@ line as they come, and the source hands out ids while it reads on, so neither ha
 a row. Ranges of terms go to a file each, terms ascend over the files in name order, ids are
 in string order. A frequent term's line is written by one task, in constant memory.
 
-A line without ``: `` is skipped. An id with a comma and a space in it comes back as two.
+A line without ``: `` is skipped, and so are blank ids and blanks around ids. An id with a
+comma and a space in it comes back as two.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ _PIECE = 1 << 20  # bytes that are read, and ids' bytes that are written, at onc
 _IDS = 8192
 
 
+def _ids(line: bytes) -> list[bytes]:
+    return [x for x in (i.strip(b" \r") for i in line.split(b", ")) if x]
+
+
 def parsed(pieces: Iterator[bytes]) -> Iterator[tuple[bytes, list[bytes]]]:
     """(term, some of its ids), in order, of a file that comes in pieces."""
     rest, term, over = b"", None, False
@@ -47,13 +52,12 @@ def parsed(pieces: Iterator[bytes]) -> Iterator[tuple[bytes, list[bytes]]]:
                 continue
             if end >= 0 or over:
                 line = rest[:end] if end >= 0 else rest
-                if line.strip(b" \r"):
-                    yield term, line.strip(b" \r").split(b", ")
+                yield term, _ids(line)
                 rest, term = rest[end + 1 :] if end >= 0 else b"", None
                 continue
             end = rest.rfind(b", ")
             if end >= 0:
-                yield term, rest[:end].split(b", ")
+                yield term, _ids(rest[:end])
                 rest = rest[end + 2 :]
             break
 
