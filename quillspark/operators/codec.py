@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators.index import inverted_lists, posting_chunks
 from quillspark.operators.running import running_sums
+from quillspark.operators.stored import shared_folder
 
 ENTRY_BYTES = 12  # of a term in the offset table
 
@@ -83,10 +84,13 @@ def encoded_index(postings: DataFrame) -> DataFrame:
 def encoded_chunks(postings: DataFrame) -> DataFrame:
     """(term, part, offset, data): the same bytes at the same places, a frequent term's in many rows.
 
-    A term's first part begins with its count.
+    A term's first part begins with its count. Parts are written once: what is read of them
+    twice must agree on where one ends.
     """
-    table, parts = term_table(postings), posting_chunks(postings)
-    bare = parts.select("term", "part", _entries(F.col("postings")).alias("hex"))
+    spark, path, table = postings.sparkSession, f"{shared_folder(postings.sparkSession)}/parts", term_table(postings)
+    bare = posting_chunks(postings).select("term", "part", _entries(F.col("postings")).alias("hex"))
+    bare.write.parquet(path)
+    bare = spark.read.schema(bare.schema).parquet(path)
     own = Window.partitionBy("term").orderBy("part")
     before = F.sum(F.length("hex") / 2).over(own.rowsBetween(Window.unboundedPreceding, -1)).cast("long")
     # A window over a term's parts has a row per range, and the bytes stay out of it.

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.analysis import LETTERS_PORTER, Analyzer
 from quillspark.operators.running import running_sums
+from quillspark.operators.skew import join_counted
 
 TABLES = ("postings", "doc_stats", "term_stats", "corpus_stats")
 
@@ -77,7 +78,12 @@ class Index:
         if self.words is not None:
             self.words.write.mode("overwrite").parquet(staged)
             words = spark.read.schema(self.words.schema).parquet(staged)
-            parts = replace(self, words=None, postings=_joined_stems(words, self.analyzer), doc_stats=_lengths(words))
+            stems = None
+            if self.analyzer.stemmer != "none":
+                stems = _stems(words, self.analyzer)
+                stems.write.mode("overwrite").parquet(f"{path}/stems")
+                stems = spark.read.schema(stems.schema).parquet(f"{path}/stems")
+            parts = replace(self, words=None, postings=_joined_stems(words, self.analyzer, stems), doc_stats=_lengths(words))
         # One shuffle: what is counted together lies in one range.
         ranged = parts.postings.repartitionByRange("term", "doc_id").groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
         ranged.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
@@ -87,8 +93,9 @@ class Index:
         lengths = spark.read.schema(parts.doc_stats.schema).parquet(f"{path}/doc_stats")
         corpus_stats(lengths).write.mode("overwrite").parquet(f"{path}/corpus_stats")
         if self.words is not None:
-            p = spark._jvm.org.apache.hadoop.fs.Path(staged)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            for name in ("words", "stems"):
+                p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
         return read_index(spark, path, self.analyzer, self.population)
 
     def temp_views(self, prefix: str = "") -> None:
@@ -121,13 +128,22 @@ def counted_words(docs: DataFrame, analyzer: Analyzer, doc_id: str = "doc_id", t
     return words.groupBy("word", "doc_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"), F.max("failed").alias("failed"))
 
 
-def _joined_stems(words: DataFrame, analyzer: Analyzer) -> DataFrame:
-    """(term, doc_id, tf, dl), not yet added up where words share a stem. Each distinct word is stemmed once."""
+def _stems(words: DataFrame, analyzer: Analyzer) -> DataFrame:
+    """(word, term, n): each distinct word is stemmed once; n documents have it."""
+    counts = words.where(F.col("word").isNotNull()).groupBy("word").agg(F.count("*").alias("n"))
+    return counts.select("word", analyzer.terms(F.col("word")).alias("term"), "n")
+
+
+def _joined_stems(words: DataFrame, analyzer: Analyzer, stems: DataFrame | None = None) -> DataFrame:
+    """(term, doc_id, tf, dl), not yet added up where words share a stem.
+
+    With ``stems``, a written table, the rows of frequent words do not move.
+    """
     counted = words.where(F.col("word").isNotNull()).select("word", "doc_id", "tf", "dl")
     if analyzer.stemmer == "none":
         return counted.withColumnRenamed("word", "term")
-    stems = counted.select("word").distinct().select("word", analyzer.terms(F.col("word")).alias("term"))
-    return counted.join(stems, "word").select("term", "doc_id", "tf", "dl")
+    joined = counted.join(_stems(words, analyzer).drop("n"), "word") if stems is None else join_counted(counted, stems, "word", "n")
+    return joined.select("term", "doc_id", "tf", "dl")
 
 
 def _lengths(words: DataFrame) -> DataFrame:

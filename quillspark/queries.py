@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.analysis import LETTERS, LETTERS_PORTER, WHITESPACE_PORTER, Analyzer, base_name
 from quillspark.functions.porter_sql import stems_sql
-from quillspark.operators import codec, index, pruned, ranking, validation
+from quillspark.operators import codec, index, levels, pruned, ranking, validation
 from quillspark.operators.stored import index_of, shared_folder
 from quillspark.plans import boolean
 from quillspark.plans.engine import SearchEngine, prompt
@@ -280,6 +280,26 @@ def segments_index(spark, sf_dir):
     return read_segments(spark, f"{root}/segments", LETTERS).term_stats
 
 
+# The table after one of its languages was replaced and another deleted.
+_CHANGED = "(SELECT doc_id, CASE WHEN lang = 'de' THEN concat('changed ', text, ' changed') ELSE text END AS text FROM documents WHERE lang IS DISTINCT FROM 'es')"
+
+
+@register(BASE.replace("FROM documents", f"FROM {_CHANGED}") + "SELECT term, df, cf, (SELECT total_tokens FROM c) AS total_tokens FROM df")
+def levels_index(spark, sf_dir):
+    """Segments by language, one replaced, one deleted, merged into levels of two."""
+    docs, root = documents(spark, sf_dir), shared_folder(spark)
+    store = levels.SegmentStore(spark, f"{root}/store", f"levels_{root.rsplit('-', 1)[-1]}", LETTERS, buckets=8)
+    plain = docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"))
+    for lang in sorted(r["lang"] for r in plain.select("lang").distinct().collect()):
+        store.add(plain.where(F.col("lang") == lang).select("doc_id", "text"))
+    german = plain.where("lang = 'de'").select("doc_id", F.concat(F.lit("changed "), "text", F.lit(" changed")).alias("text"))
+    store.add(german)
+    store.delete(plain.where("lang = 'es'"))
+    store.merge(2)
+    found = store.index()
+    return found.term_stats.withColumn("total_tokens", F.lit(found.corpus["total_tokens"]).cast("long"))
+
+
 # --- Boolean search -----------------------------------------------------------------
 
 
