@@ -29,6 +29,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,14 +39,16 @@ from pyspark.sql import functions as F
 from quillspark.llm._common import BoundedMemory, Scratch, bound_batches, remembered
 from quillspark.llm.packing import _byte_letters
 
-_ENTRIES = 100_000  # remembered chunks a generation: at most 32 characters, so 0.4 kB each
-_CHARACTERS = 1 << 20  # of the texts that are returned together: so many, one text at least
+_ENTRIES = 200_000  # remembered chunks a generation: at most 32 characters, so 0.3 kB each
+_CHARACTERS = 1 << 20  # of the texts that are aligned together: so many, one text at least
 _HEAD = 400_000  # pairs that are broadcast: 64 bytes each in a hash table
 _MARK = "\u2581"
 # White space and what follows, up to a space or line feed after another character.
 _CHUNK = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 # White space to some of the engines only.
-_ODD = re.compile("[\x1c-\x1f᠎]")
+_ODD = re.compile("[\x1c-\x1f\u180e]")
+# A line feed, a word of letters up to U+024F with its space, marks but for apostrophes.
+_WORD = re.compile("(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
 class Aligner:
@@ -80,58 +83,89 @@ class Aligner:
             rules = proto.ModelProto.FromString(f.read()).normalizer_spec
         plain = not rules.precompiled_charsmap and rules.add_dummy_prefix and not rules.remove_extra_whitespaces
         self.in_chunks = bool(self.words_a and plain and self.space is not None and not any(_MARK in p.lstrip(_MARK) or "\n" in p for p in names))
-        self.seen = BoundedMemory(self.aligned, entries)
+        self.seen = BoundedMemory(None, entries)
 
     def _ids_a(self, chunk: str) -> list[int]:
-        word = chunk[1:] if chunk[0] == " " else chunk
-        if self.words_a and word.isalpha() and max(word) < "\u0250":
-            # One pre-token: only the merges are left.
-            return [t.id for t in self.a.model.tokenize(chunk.encode().decode("latin-1").translate(self.letters))]
-        return self.a.encode(chunk, add_special_tokens=False).ids
-
-    def _ids_b(self, chunk: str) -> list[int]:
-        if chunk[0] == " ":  # which B adds itself
-            return self.b.encode(chunk[1:], num_threads=1) if len(chunk) > 1 else [self.space]
-        return self.b.encode(chunk, num_threads=1)[1:]
-
-    def aligned(self, chunk: str) -> tuple[bytes, bytes, int] | None:
-        """(groups, links, number of A tokens) of a chunk; links are A id << 32 | B id as 64-bit integers."""
-        a, b = self._ids_a(chunk), self._ids_b(chunk)
-        raw, of_a, of_b = chunk.encode(), self.bytes_a, self.bytes_b
-        if b"".join([of_a[i] for i in a]) != raw or b"".join([of_b[i] for i in b]) != raw:
+        parts = _WORD.fullmatch(chunk) if self.words_a else None
+        if parts is None:
+            return self.a.encode(chunk, add_special_tokens=False).ids
+        # A line feed, a word and marks are pre-tokens: only the merges are left.
+        merge, raw = self.a.model.tokenize, chunk.encode().decode("latin-1").translate(self.letters)
+        if parts.end(2) == len(chunk) and not parts[1]:
+            return [t.id for t in merge(raw)]
+        marks = len(parts[3])
+        pieces = (raw[: len(parts[1])], raw[len(parts[1]) : len(raw) - marks], raw[len(raw) - marks :])
+        return [t.id for x in pieces if x for t in merge(x)]
+
+    def _ids_b(self, chunks: list[str]) -> list[list[int]]:
+        """B adds the space that chunks begin with; where one begins otherwise, it is taken off again."""
+        ids = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
+        return [(i or [self.space]) if c[0] == " " else i[1:] for c, i in zip(chunks, ids)]
+
+    def aligned(self, chunk: str, b: list[int]) -> tuple[bytes, bytes, int] | None:
+        """(groups, links, number of A tokens) of a chunk with its ids of B; links are A id << 32 | B id as 64-bit integers."""
+        a, raw = self._ids_a(chunk), chunk.encode()
+        bytes_a, bytes_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
+        if b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
             return None
-        links, groups = array("Q"), []
-        i = j = first_a = first_b = 0
-        end_a, end_b = len(of_a[a[0]]), len(of_b[b[0]])
+        more_a, more_b = zip(a[1:], map(len, bytes_a[1:])), zip(b[1:], map(len, bytes_b[1:]))
+        of_a, of_b, end_a, end_b, last = a[0], b[0], len(bytes_a[0]), len(bytes_b[0]), len(raw)
+        links, groups, names_a, names_b = array("Q"), [], str(of_a), str(of_b)
         while True:
-            links.append(a[i] << 32 | b[j])
+            links.append(of_a << 32 | of_b)
             if end_a == end_b:
-                i, j = i + 1, j + 1
-                groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-                if i == len(a):
+                groups.append(names_a + "|" + names_b)
+                if end_a == last:
                     break
-                first_a, first_b = i, j
-                end_a, end_b = end_a + len(of_a[a[i]]), end_b + len(of_b[b[j]])
+                (of_a, size_a), (of_b, size_b) = next(more_a), next(more_b)
+                end_a, end_b, names_a, names_b = end_a + size_a, end_b + size_b, str(of_a), str(of_b)
             elif end_a < end_b:
-                i += 1
-                end_a += len(of_a[a[i]])
+                of_a, size_a = next(more_a)
+                end_a, names_a = end_a + size_a, f"{names_a},{of_a}"
             else:
-                j += 1
-                end_b += len(of_b[b[j]])
+                of_b, size_b = next(more_b)
+                end_b, names_b = end_b + size_b, f"{names_b},{of_b}"
         return ";".join(groups).encode(), links.tobytes(), len(a)
 
-    def align(self, text: str | None) -> tuple[bytes, bytes, int]:
-        """(groups, links, number of A tokens) of a whole text."""
-        nothing = (b"", b"", 0)
-        if not text:
-            return nothing
-        text = " " + text
-        if not self.in_chunks or _ODD.search(text):
-            return self.aligned(text) or nothing
-        found = list(map(self.seen.__getitem__, _CHUNK.findall(text)))
-        if None in found:
-            return nothing
-        return b";".join([x[0] for x in found]), b"".join([x[1] for x in found]), sum([x[2] for x in found])
+    def align_all(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes, int]]:
+        """(groups, links, number of A tokens) of each text; what is new among a few texts goes to B in one call."""
+        split = []
+        for t in texts:
+            whole = not self.in_chunks or (t and _ODD.search(t))
+            split.append([] if not t else [" " + t] if whole else _CHUNK.findall(" " + t))
+        seen, found, new = self.seen, {}, []
+        for c in dict.fromkeys(chain.from_iterable(split)):
+            known = seen.get(c, seen)
+            if known is seen:
+                known = seen.old.get(c, seen)
+                if known is seen:
+                    new.append(c)
+                    continue
+                seen.hold(c, known)
+            found[c] = known
+        for c, b in zip(new, self._ids_b(new)):
+            found[c] = known = self.aligned(c, b)
+            if len(c) <= seen.longest:
+                seen.hold(c, known)
+        get = found.__getitem__
+        for chunks in split:
+            parts = list(map(get, chunks))
+            if None in parts:
+                parts = []
+            yield b";".join([x[0] for x in parts]), b"".join([x[1] for x in parts]), sum([x[2] for x in parts])
+
+
+def _groups(texts: list[str | None]) -> Iterator[slice]:
+    """Slices of neighbouring texts."""
+    first = size = 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > first and size + n > _CHARACTERS:
+            yield slice(first, i)
+            first, size = i, 0
+        size += n
+    if first < len(texts):
+        yield slice(first, len(texts))
 
 
 _SCHEMA = "id string, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<long>"
@@ -148,19 +182,15 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", t
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         aligner = remembered(("align", path_a, path_b), lambda: Aligner(path_a, path_b))
         for frame in frames:
-            rows, size = [], 0
-            for i, t in zip(frame["id"], frame["text"]):
-                groups, raw, n_a = aligner.align(t)
-                links = np.frombuffer(raw, np.int64)
-                pairs, times = np.unique(links, return_counts=True)
-                n_groups = groups.count(b"|")
-                # A link ends where a token of either ends, a group where tokens of both do.
-                rows.append((i, n_a, len(links) + n_groups - n_a, n_groups, len(links), groups.decode(), pairs, times))
-                size += len(t or "")
-                if size > _CHARACTERS:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows, size = [], 0
-            if rows:
+            ids, texts = frame["id"].tolist(), frame["text"].tolist()
+            for at in _groups(texts):
+                rows = []
+                for i, (groups, raw, n_a) in zip(ids[at], aligner.align_all(texts[at])):
+                    links = np.frombuffer(raw, np.int64)
+                    pairs, times = np.unique(links, return_counts=True)
+                    n_groups = groups.count(b"|")
+                    # A link ends where a token of either ends, a group where tokens of both do.
+                    rows.append((i, n_a, len(links) + n_groups - n_a, n_groups, len(links), groups.decode(), pairs, times))
                 yield pd.DataFrame(rows, columns=columns)
 
     columns = [c.split()[0] for c in _SCHEMA.split(", ")]
