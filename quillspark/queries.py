@@ -13,7 +13,7 @@ from quillspark.operators import codec, index, levels, pruned, ranking, validati
 from quillspark.operators.stored import index_of, shared_folder
 from quillspark.plans import boolean
 from quillspark.plans.engine import SearchEngine, prompt
-from quillspark.sources import binary, files, lines
+from quillspark.sources import binary, files, folder, lines
 from quillspark.streaming.segments import index_stream, read_segments
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -255,6 +255,33 @@ def failed_documents(spark, sf_dir):
     return built.doc_stats.select(_id_of(F.col("doc_id")).alias("doc_id"), "dl", "failed")
 
 
+_HIDDEN = "concat(CASE lang WHEN 'de' THEN '.' WHEN 'fr' THEN '_' ELSE '' END, doc_id, '.txt')"
+
+
+@register(f"SELECT {_HIDDEN} AS name, CAST(strlen(text) AS BIGINT) AS length FROM documents")
+def hidden_files(spark, sf_dir):
+    """All files of a folder, also those whose names begin with . or _."""
+    path = f"{shared_folder(spark)}/folder"
+    folder.write_folder(documents(spark, sf_dir).select(F.expr(_HIDDEN).alias("name"), F.col("text").alias("content")), path)
+    return folder.list_folder(spark, path).select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "length")
+
+
+# A text in Latin-1 has a byte a character; the first one beyond ASCII is where it is no UTF-8.
+@register(r"""
+WITH d AS (SELECT doc_id, text, length(text) AS n, length(regexp_extract(text, '^[\x00-\x7F]*')) AS good FROM documents)
+SELECT doc_id, CAST(n AS BIGINT) AS length, CASE WHEN n > 20000 THEN 'longer than 20000 bytes' WHEN good < n THEN 'not UTF-8' END AS problem,
+  CAST(CASE WHEN n <= 20000 AND good < n THEN good END AS BIGINT) AS position, CASE WHEN n <= 20000 AND good = n THEN md5(text) END AS text_md5 FROM d""")
+def file_problems(spark, sf_dir):
+    """What is wrong with each file of a folder, and the text of those with which nothing is."""
+    path = f"{shared_folder(spark)}/folder"
+    folder.write_folder(documents(spark, sf_dir).select(F.col("doc_id").alias("name"), F.encode("text", "ISO-8859-1").alias("content")), path)
+    found = folder.read_folder(spark, path, most_bytes=20_000)
+    position = F.regexp_extract("problem", "position ([0-9]+)", 1)
+    return found.select(
+        F.regexp_extract("path", "[^/]*$", 0).cast("long").alias("doc_id"), "length", F.substring_index("problem", ":", 1).alias("problem"),
+        F.when(position != "", position.cast("long")).alias("position"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
 @register("SELECT doc_id, concat(doc_id, '-', source, '.txt') AS name FROM documents")
 def display_names(spark, sf_dir):
     path = F.concat(F.lit("mail/in/"), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("-"), F.col("source"), F.lit(".txt"))
