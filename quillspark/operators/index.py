@@ -230,3 +230,32 @@ def block_stats(doc_stats: DataFrame, block_size: int) -> DataFrame:
     spans = spans.withColumn("block", F.explode(F.expr(f"sequence(lo div {size}L, (hi - 1) div {size}L)")))
     part = F.least("hi", (F.col("block") + 1) * size) - F.greatest("lo", F.col("block") * size)
     return spans.groupBy("block").agg(F.sum(part).alias("n_tokens"), F.count("*").alias("n_documents"))
+
+
+def cut_blocks(docs: DataFrame, analyzer: Analyzer, block_size: int, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Write the index of each block of ``block_size`` + 1 token occurrences, and return it: (block, term, doc_id, tf).
+
+    Tokens are counted in the order of ids, which are unique, and within a text. Blocks are
+    cut where the count says, also within a document; they lie one after another, each
+    sorted by term and id, so no task holds more than its range.
+    """
+    words = docs.select(F.col(doc_id).alias("doc_id"), analyzer.surface(F.col(text)).alias("w")).where(F.size("w") > 0)
+    placed = running_sums(words.withColumn("dl", F.size("w").cast("long")), ["doc_id"], {"lo": "dl"})
+    tokens = placed.select("doc_id", "lo", F.posexplode("w").alias("i", "word"))
+    block = F.expr(f"(lo + i) div {block_size + 1}L")
+    rows = tokens.select(block.alias("block"), analyzer.terms(F.col("word")).alias("term"), "doc_id")
+    counted = rows.groupBy("block", "term", "doc_id").agg(F.count("*").alias("tf"))
+    counted.repartitionByRange("block", "term", "doc_id").sortWithinPartitions("block", "term", "doc_id").write.parquet(path)
+    return docs.sparkSession.read.schema(counted.schema).parquet(path)
+
+
+def block_sizes(blocks: DataFrame) -> DataFrame:
+    """(block, n_tokens, n_documents, n_terms, n_postings, n_bytes) of blocks that were cut; n_bytes is what a block takes as lines of text."""
+    ids = F.octet_length(F.col("doc_id").cast("string"))
+    terms = blocks.groupBy("block", "term").agg(F.sum("tf").alias("tokens"), F.count("*").alias("postings"), F.sum(ids + 2).alias("ids"))
+    # A line is the term, a colon and a space, ids with a comma and a space between, a line feed.
+    sizes = terms.groupBy("block").agg(
+        F.sum("tokens").alias("n_tokens"), F.count("*").alias("n_terms"), F.sum("postings").alias("n_postings"),
+        F.sum(F.octet_length("term") + F.col("ids") + 1).alias("n_bytes"))
+    documents = blocks.groupBy("block", "doc_id").agg(F.lit(1)).groupBy("block").agg(F.count("*").alias("n_documents"))
+    return sizes.join(documents, "block").select("block", "n_tokens", "n_documents", "n_terms", "n_postings", "n_bytes")

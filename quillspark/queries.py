@@ -172,6 +172,19 @@ def block_stats(spark, sf_dir):
     return index.block_stats(plain_index(spark, sf_dir).doc_stats, 5000)
 
 
+@register(r"""
+WITH w AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\s+'), lambda x: regexp_replace(lower(x), '[^a-z]', '', 'g')), lambda x: x <> '') AS ts FROM documents),
+u AS (SELECT doc_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS i FROM w),
+o AS (SELECT doc_id, term, (row_number() OVER (ORDER BY doc_id, i) - 1) // 5001 AS block FROM u),
+p AS (SELECT block, term, doc_id, count(*) AS tf FROM o GROUP BY ALL),
+s AS (SELECT block, sum(tf) AS n_tokens, count(DISTINCT doc_id) AS n_documents, count(DISTINCT term) AS n_terms, count(*) AS n_postings, sum(strlen(CAST(doc_id AS VARCHAR)) + 2) AS ids FROM p GROUP BY block),
+l AS (SELECT block, sum(strlen(term) + 1) AS terms FROM (SELECT DISTINCT block, term FROM p) GROUP BY block)
+SELECT CAST(s.block AS BIGINT) AS block, CAST(n_tokens AS BIGINT) AS n_tokens, n_documents, n_terms, n_postings, CAST(ids + terms AS BIGINT) AS n_bytes
+FROM s JOIN l ON l.block = s.block""")
+def cut_blocks(spark, sf_dir):
+    return index.block_sizes(index.cut_blocks(documents(spark, sf_dir), LETTERS, 5000, f"{shared_folder(spark)}/blocks"))
+
+
 @register(BASE + "SELECT term, string_agg(CAST(doc_id AS VARCHAR), ', ' ORDER BY CAST(doc_id AS VARCHAR)) AS postings FROM p GROUP BY term")
 def text_index_round_trip(spark, sf_dir):
     path = f"{shared_folder(spark)}/text"

@@ -50,3 +50,21 @@ def test_a_frequent_term_has_many_parts(spark):
         assert ids == sorted(str(i) for i in range(20_000) if i % 10)
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_blocks_are_truly_cut(spark, tmp_path):
+    from quillspark.functions.analysis import LETTERS
+    from quillspark.operators import index
+
+    docs = spark.createDataFrame([(i, " ".join("abc"[(i + k) % 3] * (k % 4 + 1) for k in range(i % 40))) for i in range(200)] + [(900, None)], "doc_id long, text string").repartition(7)
+    blocks = index.cut_blocks(docs, LETTERS, 99, f"{tmp_path}/blocks")
+    sizes = {r.block: r for r in index.block_sizes(blocks).collect()}
+    tokens = index.count_postings(docs, LETTERS).agg({"tf": "sum"}).first()[0]
+    assert sorted(sizes) == list(range(-(-tokens // 100))) and sum(r.n_tokens for r in sizes.values()) == tokens
+    assert all(r.n_tokens == 100 for b, r in sizes.items() if b < max(sizes)) and min(r.n_bytes for r in sizes.values()) > 0
+    merged = blocks.groupBy("term", "doc_id").agg({"tf": "sum"}).collect()
+    assert sorted(map(tuple, merged)) == sorted((r.term, r.doc_id, r.tf) for r in index.count_postings(docs, LETTERS).collect())
+    lines: dict = {}
+    for r in blocks.orderBy("block", "term").collect():
+        lines.setdefault(r.block, {}).setdefault(r.term, []).append(str(r.doc_id))
+    assert {b: sum(len(f"{t}: {', '.join(i)}\n") for t, i in x.items()) for b, x in lines.items()} == {b: r.n_bytes for b, r in sizes.items()}

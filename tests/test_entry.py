@@ -35,6 +35,6 @@ def test_entry(spark):
 def test_every_operator_has_its_query():
     names = list(e.queries())
     if importlib.util.find_spec("quillspark.llm"):
-        for n in range(1, 11):
+        for n in range(1, 14):
             assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert set(e.oracle_sql()) <= set(names)
