@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.analysis import LETTERS, LETTERS_PORTER, WHITESPACE_PORTER, Analyzer, base_name
+from quillspark.functions.analysis import LETTERS, LETTERS_PORTER, Analyzer, base_name
 from quillspark.functions.porter_sql import stems_sql
 from quillspark.operators import codec, index, levels, pruned, ranking, validation
 from quillspark.operators.stored import index_of, shared_folder
@@ -301,11 +301,12 @@ def display_names(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", base_name(path).alias("name"))
 
 
-@register("SELECT 'mail' AS input_directory, 50000 AS block_size, 'index.txt' AS output_file")
+@register("SELECT min(source) AS input_directory, CAST(count(*) AS INTEGER) AS block_size, max(lang) || '.txt' AS output_file FROM documents")
 def settings(spark, sf_dir):
+    """A settings file made from the table, and what reading it gives."""
     path = f"{shared_folder(spark)}/settings"
-    text = "[Settings]\ninput_directory = mail\nblock_size = 50000\noutput_file = index.txt"
-    spark.range(1).select(F.lit(text).alias("value")).write.text(path)
+    text = F.concat(F.lit("[Settings]\ninput_directory = "), F.min("source"), F.lit("\nblock_size = "), F.count("*").cast("string"), F.lit("\noutput_file = "), F.max("lang"), F.lit(".txt"))
+    documents(spark, sf_dir).agg(text.alias("value")).write.text(path)
     s = files.read_settings(path, spark)
     return spark.range(1).select(F.lit(s.input_directory).alias("input_directory"), F.lit(s.block_size).alias("block_size"), F.lit(s.output_file).alias("output_file"))
 
@@ -529,55 +530,49 @@ def ranking_stability(spark, sf_dir):
     return validation.stability([engine.top("this with", 5) for _ in range(10)]).select("rank", F.size("variations").cast("long").alias("n_variations"), "stable")
 
 
-# Golden scores of the ranking fixture to nine digits.
-GOLDEN = {
-    ("apple", "tfidf"): {"doc1": 0.400594178, "doc9": 0.267062785, "doc10": 0.133531393, "doc2": 0.133531393, "doc3": 0.133531393, "doc4": 0.133531393, "doc5": 0.133531393},
-    ("apple", "bm25"): {"doc9": 0.290182735, "doc1": 0.284538448, "doc10": 0.200877709, "doc5": 0.200877709, "doc2": 0.179946891, "doc3": 0.179946891, "doc4": 0.137092946},
-    ("apple", "vector"): dict.fromkeys(("doc1", "doc10", "doc2", "doc3", "doc4", "doc5", "doc9"), 1.0),
-    ("rare_term", "tfidf"): {"doc5": 1.386294361, "doc8": 1.386294361},
-    ("rare_term", "bm25"): {"doc5": 1.411303526, "doc8": 1.264250192},
-    ("rare_term", "vector"): {"doc5": 1.0, "doc8": 1.0},
-    ("apple banana", "tfidf"): {"doc2": 0.99657761, "doc1": 0.68827625, "doc10": 0.421213465, "doc3": 0.421213465, "doc4": 0.421213465, "doc5": 0.421213465, "doc9": 0.267062785},
-    ("apple banana", "bm25"): {"doc2": 0.687814344, "doc1": 0.605722351, "doc10": 0.559420644, "doc5": 0.559420644, "doc3": 0.501130794, "doc4": 0.381787628, "doc9": 0.290182735},
-    ("apple banana", "vector"): {"doc10": 1.0, "doc3": 1.0, "doc4": 1.0, "doc5": 1.0, "doc2": 0.960760448, "doc1": 0.871064411, "doc9": 0.421019784},
-}
+# The ranking fixture's documents among those of the table: N, avgdl and df are the table's.
+_FIXTURE = ", ".join(f"('{name}', '{text}')" for name, text in files.RANKING_DOCS)
+_WITH_FIXTURE = BASE.replace("FROM documents", f"FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {_FIXTURE}) f(doc_id, text))")
+_FIXTURE_BAGS = {"apple": {"apple": 1}, "rare_term": {"rareterm": 1}, "apple banana": {"apple": 1, "banana": 1}}
 
 
-def _golden_sql() -> str:
-    rows = ", ".join(f"('{m}', '{q}', '{d}.txt', CAST({s} AS DOUBLE))" for (q, m), docs in GOLDEN.items() for d, s in docs.items())
-    return f"SELECT method, query, doc_id, round(score, 6) AS score FROM (VALUES {rows}) v(method, query, doc_id, score)"
+def _fixture_sql() -> str:
+    parts = [
+        _score_sql(m, bag, " OR ".join(map(_flag, bag)), _WITH_FIXTURE) + f"SELECT '{m}' AS method, '{q}' AS query, doc_id, score FROM r"
+        for m in validation.SCORED for q, bag in _FIXTURE_BAGS.items()]
+    return " UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts)
 
 
-def fixture_engine(spark: SparkSession) -> SearchEngine:
-    built = index.build_index(files.ranking_docs(spark), WHITESPACE_PORTER, "files")
-    return SearchEngine(built.write(f"{shared_folder(spark)}/fixture"))
+def _fixture_scores(spark, sf_dir) -> DataFrame:
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), "text").unionByName(files.ranking_docs(spark))
+    built = index.build_index(docs, LETTERS).write(f"{shared_folder(spark)}/fixture")
+    return validation.all_scores(SearchEngine(built), list(_FIXTURE_BAGS))
 
 
-@register(_golden_sql())
+@register(f"SELECT method, query, doc_id, round(score, 6) AS score FROM ({_fixture_sql()})")
 def fixture_scores(spark, sf_dir):
-    return validation.all_scores(fixture_engine(spark), ["apple", "rare_term", "apple banana"]).select("method", "query", "doc_id", six("score").alias("score"))
-
-
-# The checks that each method has for each query of the fixture; all hold.
-PRINCIPLES = [
-    ("tfidf", "apple", "frequent word ranks high"), ("tfidf", "apple", "higher frequency first"),
-    ("tfidf", "rare_term", "all documents with the rare word"),
-    ("tfidf", "apple banana", "frequent word ranks high"), ("tfidf", "apple banana", "both words rank high"), ("tfidf", "apple banana", "higher frequency first"),
-    ("bm25", "apple", "frequent word ranks high"), ("bm25", "rare_term", "all documents with the rare word"),
-    ("bm25", "apple banana", "frequent word ranks high"), ("bm25", "apple banana", "both words rank high"),
-    ("vector", "rare_term", "all documents with the rare word"),
-    ("vector", "apple banana", "both words rank high"), ("vector", "apple banana", "diverse documents near the top"),
-]
+    return _fixture_scores(spark, sf_dir).withColumn("score", six("score"))
+
+
+def _principles_sql() -> str:
+    names = lambda x: ", ".join(f"'{n}'" for n in sorted(x))
+    least = lambda x: f"min(rank) FILTER (doc_id IN ({names(x)}))"
+    rules = [
+        ("frequent word ranks high", "apple AND method <> 'vector'", "coalesce(frequent <= 3, false)"), ("all documents with the rare word", "rare", f"n_rare = {len(validation.RARE)}"),
+        ("both words rank high", "two", "coalesce(two_words <= 3, false)"), ("higher frequency first", "apple AND method = 'tfidf' AND higher IS NOT NULL AND lower IS NOT NULL", "higher < lower"),
+        ("diverse documents near the top", "two AND method = 'vector'", "coalesce(diverse <= 3, false)")]
+    checks = " UNION ALL ".join(f"""SELECT method, query, '{check}' AS "check", {holds} AS pass FROM a WHERE {applies}""" for check, applies, holds in rules)
+    return f"""WITH s AS ({_fixture_sql()}), k AS (SELECT *, row_number() OVER (PARTITION BY method, query ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s),
+a AS (SELECT method, query, {least(validation.FREQUENT)} AS frequent, {least(validation.BOTH)} AS two_words, {least(validation.DIVERSE)} AS diverse,
+  count(DISTINCT doc_id) FILTER (doc_id IN ({names(validation.RARE)})) AS n_rare, {least(['doc1.txt'])} AS higher, {least(['doc3.txt'])} AS lower,
+  contains(query, 'apple') AND NOT contains(query, 'rare') AS apple, contains(query, 'rare_term') AS rare, contains(query, 'apple') AND contains(query, 'banana') AS two
+  FROM k WHERE rank <= 5 GROUP BY method, query) {checks}"""
 
 
-@register("SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{q}', '{c}', true)" for m, q, c in PRINCIPLES) + ') v(method, query, "check", pass)')
+@register(_principles_sql())
 def fixture_principles(spark, sf_dir):
-    out, engine = None, fixture_engine(spark)
-    for m in validation.SCORED:
-        for q in ("apple", "rare_term", "apple banana"):
-            one = validation.validate_principles(engine.with_ranking(m), q).select(F.lit(m).alias("method"), F.lit(q).alias("query"), "check", "pass")
-            out = one if out is None else out.unionByName(one)
-    return out
+    scores = _fixture_scores(spark, sf_dir).withColumn("group", F.concat_ws("/", "method", "query"))
+    return validation.principles(ranking.top_per_group(scores, "group", 5).withColumn("name", base_name(F.col("doc_id"))))
 
 
 @register("SELECT count(*) AS n_methods, true AS ascending, true AS measured FROM (VALUES ('none'), ('tfidf'), ('bm25'), ('vector')) v(method)")

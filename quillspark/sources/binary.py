@@ -20,6 +20,7 @@ hdfs://, s3://, ...) and must be reached by the executors.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import uuid
 from bisect import bisect_left, bisect_right
@@ -158,6 +159,11 @@ def _entries(block: bytes, ints: bool, wanted: bytes | None = None) -> Iterator[
 # ---- files --------------------------------------------------------------------------
 
 
+def located(path: str) -> str:
+    """A path that means the same to the driver and to executors: relative ones are the driver's."""
+    return path if ":" in path.split("/")[0] else os.path.abspath(path)
+
+
 def filesystem(path: str) -> tuple[files.FileSystem, str]:
     return files.FileSystem.from_uri(path)
 
@@ -418,14 +424,14 @@ def write_binary(postings: DataFrame, path: str) -> None:
     spark.dataSource.register(BinaryIndexSource)
     ids = "doc_id" if dict(postings.dtypes)["doc_id"] in ("bigint", "string") else "cast(doc_id as string) as doc_id"
     rows = postings.selectExpr("term", ids).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-    rows.write.format(NAME).mode("overwrite").save(path)
+    rows.write.format(NAME).mode("overwrite").save(located(path))
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
     """(term, doc_id) of a binary index; filters on ``term`` are look-ups."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BinaryIndexSource)
-    return spark.read.format(NAME).load(path)
+    return spark.read.format(NAME).load(located(path))
 
 
 def stored_bytes(path: str) -> int:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from quillspark.sources.binary import filesystem
+from quillspark.sources.binary import filesystem, located
 
 NAME = "quill_folder"
 FILES = 1000
@@ -113,16 +113,16 @@ def _source(spark: SparkSession, recursive: bool):
 
 def list_folder(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """(path, length) of every file."""
-    return _source(spark, recursive).load(path)
+    return _source(spark, recursive).load(located(path))
 
 
 def read_folder(spark: SparkSession, path: str, recursive: bool = False, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(path, length, text, problem) of every file; exactly one of the last two is null."""
-    return _source(spark, recursive).option("mostBytes", str(most_bytes)).load(path)
+    return _source(spark, recursive).option("mostBytes", str(most_bytes)).load(located(path))
 
 
 def write_folder(rows: DataFrame, path: str, name: str = "name", content: str = "content") -> None:
     """A file for each row, as it is; of rows of one name the last that is written stays."""
     rows.sparkSession.dataSource.register(FolderSource)
     raw = rows.select(F.col(name).cast("string").alias("name"), F.col(content).cast("binary").alias("content"))
-    raw.write.format(NAME).mode("append").save(path)
+    raw.write.format(NAME).mode("append").save(located(path))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
 
-from quillspark.sources.binary import _Written, delete_parts, filesystem, sorted_runs, write_manifest
+from quillspark.sources.binary import _Written, delete_parts, filesystem, located, sorted_runs, write_manifest
 
 NAME = "quill_lines"
 _PIECE = 1 << 20  # bytes that are read, and ids' bytes that are written, at once
@@ -143,10 +143,10 @@ def write_lines(postings: DataFrame, path: str) -> None:
     """Replace the text index at ``path`` by the (term, doc_id) rows of ``postings``."""
     postings.sparkSession.dataSource.register(TextIndexSource)
     rows = postings.select("term", F.col("doc_id").cast("string").alias("doc_id"))
-    rows.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.format(NAME).mode("overwrite").save(path)
+    rows.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.format(NAME).mode("overwrite").save(located(path))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(term, doc_id) of a text index, a file or a folder of them."""
     spark.dataSource.register(TextIndexSource)
-    return spark.read.format(NAME).load(path)
+    return spark.read.format(NAME).load(located(path))
