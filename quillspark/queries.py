@@ -282,17 +282,17 @@ def hidden_files(spark, sf_dir):
 # A text in Latin-1 has a byte a character; the first one beyond ASCII is where it is no UTF-8.
 @register(r"""
 WITH d AS (SELECT doc_id, text, length(text) AS n, length(regexp_extract(text, '^[\x00-\x7F]*')) AS good FROM documents)
-SELECT doc_id, CAST(n AS BIGINT) AS length, CASE WHEN n > 20000 THEN 'longer than 20000 bytes' WHEN good < n THEN 'not UTF-8' END AS problem,
-  CAST(CASE WHEN n <= 20000 AND good < n THEN good END AS BIGINT) AS position, CASE WHEN n <= 20000 AND good = n THEN md5(text) END AS text_md5 FROM d""")
+SELECT doc_id, CAST(n AS BIGINT) AS length, CASE WHEN n > 20000 THEN 'longer than 20000 bytes' WHEN good < n THEN 'not UTF-8 at ' || good ELSE 'none' END AS problem,
+  CASE WHEN n <= 20000 AND good = n THEN md5(text) ELSE 'no text' END AS text_md5 FROM d""")
 def file_problems(spark, sf_dir):
     """What is wrong with each file of a folder, and the text of those with which nothing is."""
     path = f"{shared_folder(spark)}/folder"
     folder.write_folder(documents(spark, sf_dir).select(F.col("doc_id").alias("name"), F.encode("text", "ISO-8859-1").alias("content")), path)
     found = folder.read_folder(spark, path, most_bytes=20_000)
-    position = F.regexp_extract("problem", "position ([0-9]+)", 1)
+    problem = F.regexp_replace(F.coalesce("problem", F.lit("none")), ":.* position ", " at ")
     return found.select(
-        F.regexp_extract("path", "[^/]*$", 0).cast("long").alias("doc_id"), "length", F.substring_index("problem", ":", 1).alias("problem"),
-        F.when(position != "", position.cast("long")).alias("position"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+        F.regexp_extract("path", "[^/]*$", 0).cast("long").alias("doc_id"), "length", problem.alias("problem"),
+        F.coalesce(F.md5(F.encode("text", "UTF-8")), F.lit("no text")).alias("text_md5"))
 
 
 @register("SELECT doc_id, concat(doc_id, '-', source, '.txt') AS name FROM documents")
