@@ -239,12 +239,14 @@ def cut_blocks(docs: DataFrame, analyzer: Analyzer, block_size: int, path: str,
     cut where the count says, also within a document; they lie one after another, each
     sorted by term and id, so no task holds more than its range.
     """
-    words = docs.select(F.col(doc_id).alias("doc_id"), analyzer.surface(F.col(text)).alias("w")).where(F.size("w") > 0)
-    placed = running_sums(words.withColumn("dl", F.size("w").cast("long")), ["doc_id"], {"lo": "dl"})
-    tokens = placed.select("doc_id", "lo", F.posexplode("w").alias("i", "word"))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    lengths = document_lengths(texts, analyzer).where((F.col("dl") > 0) & ~F.col("failed")).select("doc_id", "dl")
+    starts = running_sums(lengths, ["doc_id"], {"lo": "dl"}).select("doc_id", "lo")
+    # Texts meet their starts dealt by document, and are counted there: words do not move before.
+    words = texts.join(starts.hint("merge"), "doc_id").select("doc_id", "lo", F.posexplode(analyzer.surface(F.col("text"))).alias("i", "word"))
     block = F.expr(f"(lo + i) div {block_size + 1}L")
-    rows = tokens.select(block.alias("block"), analyzer.terms(F.col("word")).alias("term"), "doc_id")
-    counted = rows.groupBy("block", "term", "doc_id").agg(F.count("*").alias("tf"))
+    rows = words.select(block.alias("block"), analyzer.terms(F.col("word")).alias("term"), "doc_id")
+    counted = rows.groupBy("doc_id", "block", "term").agg(F.count("*").alias("tf")).select("block", "term", "doc_id", "tf")
     counted.repartitionByRange("block", "term", "doc_id").sortWithinPartitions("block", "term", "doc_id").write.parquet(path)
     return docs.sparkSession.read.schema(counted.schema).parquet(path)
 
