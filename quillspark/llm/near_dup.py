@@ -11,7 +11,8 @@ Equal sets are merged first. Partial keys that only one set has cannot meet and
 out before tables are formed. Inside a table bucket sets are compared with a centre, the
 set that meets most others, and then only across groups that are not yet connected: with
 further centres, in the end in blocks of sets, so that no possible link stays untested
-between different groups and no pair is tested inside one. Every link is confirmed on the
+between different groups and no pair is tested inside one. Where blocks would copy sets
+often, only sets that share one of their rarest shingles, as linked sets must, meet in them. Every link is confirmed on the
 full sets. A centre's comparisons are dealt to parts of bounded size, each of which gets the
 centre's set once; blocks hold a bounded number of sets, however large a group of copies is.
 Components come from hooking and pointer jumping on tables in the shared folder.
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm._common import BoundedMemory, Scratch, mapped
@@ -41,6 +42,7 @@ _STARS = 2
 _PART_ROWS = 64  # comparisons that share one copy of a centre's set
 _BLOCK_SETS = 128
 _BLOCK_BYTES = 2 << 20
+_COPIES = 2  # blocks to which a set goes before its family is parted by shingles
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -306,25 +308,70 @@ def _block_links(percent: int):
     return run
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets (family, id, root, hashes) to one row a shingle; equal shingles of a family have equal keys."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 128):
+            batch = whole.slice(at, 128)
+            for family, i, root, h in zip(*(batch.column(n).to_pylist() for n in ("family", "id", "root", "hashes"))):
+                keys = _mix(np.frombuffer(h, _U) ^ _mix(np.full(1, family, np.int64).view(_U))).view(np.int64)
+                for lo in range(0, len(keys), 1 << 16):
+                    part = keys[lo : lo + (1 << 16)]
+                    yield pa.RecordBatch.from_pydict({"key": part, "id": np.full(len(part), i), "root": np.full(len(part), root), "size": np.full(len(part), len(keys), np.int32)})
+
+
+def _rare(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``key``, ``id``, ``root`` of the shingles by which sets of one family can be linked over groups.
+
+    Under one order of all shingles, linked sets share one of their first
+    size - ceil(percent * size / 100) + 1. First come shingles that one group alone has, which
+    link no groups and make no row, then the others, rare ones before frequent ones.
+    """
+    rows = mapped(members.select("family", "id", "root").join(sets, "id").select("family", "id", "root", "hashes"), _tokens, "key long, id long, root long, size int")
+    met = rows.groupBy("key").agg(F.count("*").alias("often"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key", "often")
+    of_set = Window.partitionBy("id")
+    placed = (rows.join(met, "key").withColumn("alone", F.col("size") - F.count("*").over(of_set))
+              .withColumn("place", F.col("alone") + F.row_number().over(of_set.orderBy("often", "key"))))
+    first = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    return placed.where(F.col("place") <= first).select("key", "id", "root")
+
+
+def _families(b: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Members (id, root, family) of the groups that mixed buckets connect, and each family's sizes and blocks."""
+    family = components(b.select(F.col("r0").alias("u"), F.col("root").alias("v")), scratch)
+    members = b.select("id", "root").distinct().join(family.select(F.col("id").alias("root"), F.col("root").alias("family")), "root")
+    members = scratch.keep(members.join(sets.select("id", F.length("hashes").alias("bytes")), "id"))
+    groups = members.groupBy("family", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    parts = lambda n, size: F.greatest(F.ceil(F.col(n) / _BLOCK_SETS), F.ceil(F.col(size) / _BLOCK_BYTES), F.lit(1)).cast("int")
+    families = (groups.groupBy("family").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "root", "bytes")).alias("major"))
+                .select("family", "n", F.col("major.root").alias("major"), (F.col("n") - F.col("major.n")).alias("m"), "bytes", (F.col("bytes") - F.col("major.bytes")).alias("m_bytes"))
+                .select("family", "major", parts("n", "bytes").alias("p"), parts("m", "m_bytes").alias("q")))
+    return members.drop("bytes"), scratch.keep(families)
+
+
 def _apart(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links (u, v) between groups that still share buckets.
 
     Groups that buckets connect form a family. A family's sets are compared in blocks: all
     but those of its largest group with every one of another group, so the work is what the
     largest group leaves over times the family. Larger families have more blocks, of the
-    same size.
+    same size; each set goes to all blocks of the other side, so families in which that would
+    be more than ``_COPIES`` blocks are first parted by the shingles that can link them.
     """
     b = scratch.keep(_mixed(buckets, labels))
     if b.isEmpty():
         return b.select(F.col("id").alias("u"), F.col("id").alias("v"))
-    family = components(b.select(F.col("r0").alias("u"), F.col("root").alias("v")), scratch)
-    members = b.select("id", "root").distinct().join(family.select(F.col("id").alias("root"), F.col("root").alias("family")), "root")
-    members = scratch.keep(members.join(sets.select("id", F.length("hashes").alias("bytes")), "id"))
-    groups = members.groupBy("family", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    families = scratch.keep(groups.groupBy("family").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "root", "bytes")).alias("major"))
-                            .select("family", "n", F.col("major.root").alias("major"), (F.col("n") - F.col("major.n")).alias("m"), "bytes", (F.col("bytes") - F.col("major.bytes")).alias("m_bytes")))
-    parts = lambda n, size: F.greatest(F.ceil(F.col(n) / _BLOCK_SETS), F.ceil(F.col(size) / _BLOCK_BYTES), F.lit(1)).cast("int")
-    full = members.drop("bytes").join(families, "family").join(sets, "id").withColumn("p", parts("n", "bytes")).withColumn("q", parts("m", "m_bytes"))
+    members, families = _families(b, sets, scratch)
+    wide = families.where(F.col("q") > _COPIES).select("family")
+    if not wide.isEmpty():
+        rare = scratch.keep(_rare(members.join(wide, "family"), sets, percent))
+        closer = scratch.keep(_mixed(rare.select("key", "id"), rare.select("id", "root").distinct()))
+        scratch.drop(rare)
+        parted_members, parted = _families(closer, sets, scratch)
+        # A family is named by a root of its own, so names stay apart.
+        members = members.join(wide, "family", "left_anti").unionByName(parted_members)
+        families = families.join(wide, "family", "left_anti").unionByName(parted)
+    full = members.join(families, "family").join(sets, "id")
 
     def spread(df: DataFrame, side: int, own: str, other: str, c: str, d: str) -> DataFrame:
         dealt = df.withColumn(c, F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn(d, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
