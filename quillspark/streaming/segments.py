@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillspark.functions.analysis import LETTERS_PORTER, Analyzer
-from quillspark.operators.index import Index, corpus_stats, count_postings, document_lengths, merge_segments, term_stats
+from quillspark.operators.index import Index, corpus_stats, count_postings, document_lengths, term_stats
 
 
 def index_stream(docs: DataFrame, path: str, checkpoint: str, analyzer: Analyzer = LETTERS_PORTER) -> StreamingQuery:
@@ -34,7 +34,8 @@ def read_segments(spark: SparkSession, path: str, analyzer: Analyzer = LETTERS_P
     lengths = spark.read.parquet(f"{path}/doc_stats")
     latest = lengths.groupBy("doc_id").agg(F.max(F.struct("batch", "dl", "failed")).alias("x")).select("doc_id", "x.*")
     postings = spark.read.parquet(f"{path}/postings").join(latest.select("doc_id", "batch"), ["doc_id", "batch"], "left_semi")
-    postings = merge_segments([postings.select("term", "doc_id", "tf", "dl")])
+    # Each document is of one batch now, whose rows are added up: there is nothing to merge.
+    postings = postings.select("term", "doc_id", "tf", "dl")
     doc_stats = latest.select("doc_id", "dl", "failed")
     return Index(postings, doc_stats, term_stats(postings), corpus_stats(doc_stats), analyzer, population)
 
