@@ -3,7 +3,8 @@
 A line is a term's whole list, however long: the sink gets sorted rows and appends to the
 line as they come, and the source hands out ids while it reads on, so neither has a list in
 a row. Ranges of terms go to a file each, terms ascend over the files in name order, ids are
-in string order. A frequent term's line is written by one task, in constant memory.
+in string order. A frequent term's line is written by one task in constant memory, after
+Spark's sort of its range, which spills if need be.
 
 A line without ``: `` is skipped, and so are blank ids and blanks around ids. An id with a
 comma and a space in it comes back as two.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as files
 from pyspark import TaskContext
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
 
+from quillspark.operators.index import by_range
 from quillspark.sources.binary import _Written, delete_parts, filesystem, located, sorted_runs, write_manifest
 
 NAME = "quill_lines"
@@ -107,19 +110,22 @@ class _Reader(DataSourceReader):
             return
         fs, _ = filesystem(self.path)
         with fs.open_input_stream(partition.value) as f:
-            terms, found = [], []
+            terms, sizes, found = [], [], []
             for term, ids in parsed(iter(lambda: f.read(_PIECE), b"")):
-                terms += [term] * len(ids)
+                terms.append(term)
+                sizes.append(len(ids))
                 found += ids
                 if len(found) >= _IDS:
-                    yield self._batch(terms, found)
-                    terms, found = [], []
+                    yield self._batch(terms, sizes, found)
+                    terms, sizes, found = [], [], []
             if found:
-                yield self._batch(terms, found)
+                yield self._batch(terms, sizes, found)
 
     @staticmethod
-    def _batch(terms: list[bytes], ids: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x.decode("utf-8", "replace") for x in c], pa.string()) for c in (terms, ids)], names=["term", "doc_id"])
+    def _batch(terms: list[bytes], sizes: list[int], ids: list[bytes]) -> pa.RecordBatch:
+        """``sizes`` tells how many of the ids each term has."""
+        text = lambda c: pa.array([x.decode("utf-8", "replace") for x in c], pa.string())
+        return pa.RecordBatch.from_arrays([text(terms).take(pa.array(np.repeat(np.arange(len(terms)), sizes), pa.int64())), text(ids)], names=["term", "doc_id"])
 
 
 class TextIndexSource(DataSource):
@@ -143,7 +149,7 @@ def write_lines(postings: DataFrame, path: str) -> None:
     """Replace the text index at ``path`` by the (term, doc_id) rows of ``postings``."""
     postings.sparkSession.dataSource.register(TextIndexSource)
     rows = postings.select("term", F.col("doc_id").cast("string").alias("doc_id"))
-    rows.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.format(NAME).mode("overwrite").save(located(path))
+    by_range(rows, rows.count(), "term").sortWithinPartitions("term", "doc_id").write.format(NAME).mode("overwrite").save(located(path))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

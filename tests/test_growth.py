@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.analysis import LETTERS_PORTER
 from quillspark.operators import index
+from quillspark.sources import binary, lines
 
 TEXTS = [(1, "Running runs, a RUN!"), (2, " 12 "), (3, None), (4, "cats cat"), (4, "cat")]
 
@@ -33,3 +34,22 @@ def test_without_repeated_ids_nothing_is_added_up(spark, tmp_path, monkeypatch):
     assert not added and one.postings.count() == 2
     index.build_index(docs, LETTERS_PORTER).write(f"{tmp_path}/two")
     assert added and one.term_stats.agg(F.sum("cf")).first()[0] == 4
+
+
+def test_ranges_of_lines_have_a_bound(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "RANGE_ROWS", 100)
+    rows = spark.range(5000).selectExpr("concat('t', id % 500) as term", "id as doc_id")
+    lines.write_lines(rows, f"{tmp_path}/l")
+    sizes = [sum(x.count(",") + 1 for x in f.read_text().splitlines()) for f in (tmp_path / "l").glob("part-*")]
+    assert sum(sizes) == 5000 and len(sizes) > 30 and max(sizes) < 400
+    assert lines.read_lines(spark, f"{tmp_path}/l").distinct().count() == 5000
+
+
+def test_short_lists_are_written_without_arrays(monkeypatch):
+    lists = [[5], [-3, 7], [-(2**63), 2**63 - 1], [1, 2, 400, 10**12], list(range(0, 9000, 600))]
+    monkeypatch.setattr(binary, "_FEW", 0, raising=False)
+    arrays = [binary._entry(b"abc", b"abd", ids) for ids in lists]
+    monkeypatch.undo()
+    monkeypatch.setattr(binary, "varints", None)
+    assert [binary._entry(b"abc", b"abd", ids) for ids in lists] == arrays
+    assert [list(binary._entries(binary._entry(b"", b"ab", ids), True)) for ids in lists] == [[(b"ab", ids)] for ids in lists]
