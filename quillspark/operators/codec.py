@@ -6,15 +6,20 @@ length and its UTF-8 bytes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.operators.index import inverted_lists, posting_chunks
+from quillspark.operators.index import by_range, inverted_lists
 from quillspark.operators.running import running_sums
 from quillspark.operators.stored import shared_folder
+from quillspark.sources.binary import sorted_runs
 
 ENTRY_BYTES = 12  # of a term in the offset table
+_BARE = {"term": pa.string(), "part": pa.int32(), "place": pa.int64(), "n": pa.int64(), "before": pa.int64(), "size": pa.int64(), "data": pa.binary()}
 
 
 def _entries(ids: Column) -> Column:
@@ -51,10 +56,9 @@ def _decoded_part(data: pa.Array, first: pa.Array) -> pa.Array:
 
 
 def decode_chunks(chunks: DataFrame) -> DataFrame:
-    """(term, doc_id) of ``encoded_chunks``."""
-    starts = chunks.groupBy("term").agg(F.min("part").alias("least"))
-    ids = F.arrow_udf(_decoded_part, "array<string>")(F.col("data"), F.col("part") == F.col("least"))
-    return chunks.join(starts, "term").select("term", F.explode(ids).alias("doc_id"))
+    """(term, doc_id) of ``encoded_chunks``; no row moves."""
+    ids = F.arrow_udf(_decoded_part, "array<string>")(F.col("data"), F.col("first"))
+    return chunks.select("term", F.explode(ids).alias("doc_id"))
 
 
 def term_table(postings: DataFrame) -> DataFrame:
@@ -81,24 +85,65 @@ def encoded_index(postings: DataFrame) -> DataFrame:
     return term_table(postings).drop("df").join(lists, "term")
 
 
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each term of a range of sorted (term, id, part): its entries, and how many bytes lie before them in the range."""
+    part, rows, held, before, place = None, [], 0, 0, 0
+
+    def ranges() -> Iterator[pa.RecordBatch]:
+        nonlocal part
+        for b in batches:
+            if b.num_rows:
+                part = b.column(2)[0].as_py()
+                yield b
+
+    def taken() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({c: pa.array(v, k) for (c, k), v in zip(_BARE.items(), zip(*rows))})
+
+    for term, runs in groupby(sorted_runs(ranges(), 8192), lambda r: r[0]):
+        data, n, last = bytearray(), 0, None
+        for _, ids in runs:
+            for i in ids:
+                if i != last:
+                    raw = i.encode()
+                    data += len(raw).to_bytes(4, "big") + raw
+                    n, last = n + 1, i
+        rows.append((term, part, place, n, before, len(data), bytes(data)))
+        before, place, held = before + 4 + len(data), place + 1, held + len(data)
+        if len(rows) >= 4096 or held >= 1 << 20:
+            yield taken()
+            rows, held = [], 0
+    if rows:
+        yield taken()
+
+
 def encoded_chunks(postings: DataFrame) -> DataFrame:
-    """(term, part, offset, data): the same bytes at the same places, a frequent term's in many rows.
+    """(term, part, offset, data, first): the same bytes at the same places, a frequent term's in many rows.
 
-    A term's first part begins with its count. Parts are written once: what is read of them
-    twice must agree on where one ends.
+    A term's first part begins with its count. Parts are ranges of (term, id), each encoded
+    where it is sorted and written once; where one begins, and the count of a term that goes
+    on in the next, come from a table of one row per range, so no bytes move again.
     """
-    spark, path, table = postings.sparkSession, f"{shared_folder(postings.sparkSession)}/parts", term_table(postings)
-    bare = posting_chunks(postings).select("term", "part", _entries(F.col("postings")).alias("hex"))
+    spark, path = postings.sparkSession, f"{shared_folder(postings.sparkSession)}/parts"
+    ids = postings.select("term", F.col("doc_id").cast("string").alias("id"))
+    ranged = by_range(ids, ids.count(), "term", "id").withColumn("part", F.spark_partition_id()).sortWithinPartitions("term", "id")
+    bare = ranged.mapInArrow(_encoded, "term string, part int, place long, n long, before long, size long, data binary")
     bare.write.parquet(path)
     bare = spark.read.schema(bare.schema).parquet(path)
-    own = Window.partitionBy("term").orderBy("part")
-    before = F.sum(F.length("hex") / 2).over(own.rowsBetween(Window.unboundedPreceding, -1)).cast("long")
-    # A window over a term's parts has a row per range, and the bytes stay out of it.
-    places = bare.select("term", "part", before.alias("before"))
-    rows = bare.join(places, ["term", "part"]).join(table.select("term", "offset", "df"), "term")
-    first = F.col("before").isNull()
-    data = F.unhex(F.concat(F.when(first, F.lpad(F.hex("df"), 8, "0")).otherwise(F.lit("")), F.col("hex")))
-    return rows.select("term", "part", (F.col("offset") + F.when(first, 0).otherwise(F.col("before") + 4)).alias("offset"), data.alias("data"))
+    ranges = bare.groupBy("part").agg(
+        F.sum(F.col("size") + 4).alias("bytes"), F.max("place").alias("last_place"), F.max_by("term", "place").alias("last_term"),
+        F.min_by("term", "place").alias("first_term"), F.min_by("n", "place").alias("first_n"))
+    order = Window.orderBy("part")
+    ranges = ranges.withColumn("goes_on", F.coalesce(F.col("first_term") == F.lag("last_term").over(order), F.lit(False)))
+    own = F.col("bytes") - F.when(F.col("goes_on"), 4).otherwise(0)
+    based = ranges.withColumn("base", F.coalesce(F.sum(own).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    more = ranges.where("goes_on").groupBy(F.col("first_term").alias("last_term")).agg(F.sum("first_n").alias("more"))
+    table = based.join(more, "last_term", "left").select("part", "base", "goes_on", "last_place", "more")
+    rows = bare.join(F.broadcast(table), "part")
+    first = ~(F.col("goes_on") & (F.col("place") == 0))
+    df = F.col("n") + F.when(F.col("place") == F.col("last_place"), F.coalesce("more", F.lit(0))).otherwise(0)
+    data = F.when(first, F.concat(F.unhex(F.lpad(F.hex(df), 8, "0")), "data")).otherwise(F.col("data"))
+    offset = F.col("base") + F.col("before") - F.when(F.col("goes_on") & (F.col("place") > 0), 4).otherwise(0)
+    return rows.select("term", "part", offset.cast("long").alias("offset"), data.alias("data"), first.alias("first"))
 
 
 def size_report(postings: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillspark.functions.analysis import LETTERS_PORTER
-from quillspark.operators import index
+from quillspark.operators import codec, index
 from quillspark.sources import binary, lines
 
 TEXTS = [(1, "Running runs, a RUN!"), (2, " 12 "), (3, None), (4, "cats cat"), (4, "cat")]
@@ -53,3 +53,20 @@ def test_short_lists_are_written_without_arrays(monkeypatch):
     monkeypatch.setattr(binary, "varints", None)
     assert [binary._entry(b"abc", b"abd", ids) for ids in lists] == arrays
     assert [list(binary._entries(binary._entry(b"", b"ab", ids), True)) for ids in lists] == [[(b"ab", ids)] for ids in lists]
+
+
+def test_chunks_are_placed_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(index, "RANGE_ROWS", 300)
+    # One term over many ranges, between others; one pair twice.
+    postings = spark.range(6000).selectExpr("if(id % 3 = 0, concat(if(id % 2 = 0, 'a', 'z'), id), 'hot') as term", "id as doc_id")
+    chunks = codec.encoded_chunks(postings.unionByName(postings.where("doc_id = 1")))
+    assert _plan(codec.decode_chunks(chunks)).count("SortMergeJoin") == 0
+    rows = chunks.orderBy("offset").collect()
+    hot = [r for r in rows if r.term == "hot"]
+    assert len(hot) > 10 and [r.first for r in hot] == [True] + [False] * (len(hot) - 1)
+    whole = b"".join(bytes(r.data) for r in codec.encoded_index(postings).orderBy("term").collect())
+    assert b"".join(bytes(r.data) for r in rows) == whole
+    assert [r.offset for r in rows] == [sum(len(x.data) for x in rows[:i]) for i in range(len(rows))]
+    got = codec.decode_chunks(chunks)
+    want = postings.selectExpr("term", "cast(doc_id as string) as doc_id")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
