@@ -218,24 +218,23 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Each node hooks to its smallest smaller neighbour; pointer jumping flattens the trees;
     edges move up to the roots, until none is left. Two nodes' rounds shrink every
-    component to at most half its roots.
+    component to at most half its roots. Tables are joined by merging, never by a broadcast, and
+    counted as they are written, so that a round leaves little in the driver's memory.
     """
     u, v = F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")
-    left = scratch.keep(edges.select(u, v).where("lo < hi").distinct())
-    labels = scratch.keep(left.select(F.explode(F.array("lo", "hi")).alias("id")).distinct().withColumn("root", F.col("id")))
-    while not left.isEmpty():
-        hooks = scratch.keep(left.groupBy("hi").agg(F.min("lo").alias("to")))
-        while True:
-            onward = hooks.select(F.col("hi").alias("to"), F.col("to").alias("next"))
-            jumped = scratch.keep(hooks.join(onward, "to", "left").select("hi", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
-            done = jumped.where("moved").isEmpty()
+    left, n = scratch.counted(edges.select(u, v).where("lo < hi").distinct())
+    labels = left.select(F.explode(F.array("lo", "hi")).alias("id")).distinct().withColumn("root", F.col("id"))
+    while n["rows"]:
+        hooks = left.groupBy("hi").agg(F.min("lo").alias("to"))
+        n = {"moved": 1}
+        while n["moved"]:
+            onward = hooks.select(F.col("hi").alias("to"), F.col("to").alias("next")).hint("merge")
+            jumped, n = scratch.counted(hooks.join(onward, "to", "left").select("hi", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), moved=F.col("moved"))
             scratch.drop(hooks)
             hooks = jumped
-            if done:
-                break
-        move = lambda df, c: df.join(hooks.select(F.col("hi").alias(c), "to"), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+        move = lambda df, c: df.join(hooks.select(F.col("hi").alias(c), "to").hint("merge"), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
         new_labels = scratch.keep(move(labels, "root").select("id", "root"))
-        new_left = scratch.keep(move(move(left, "lo"), "hi").select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).where("lo < hi").distinct())
+        new_left, n = scratch.counted(move(move(left, "lo"), "hi").select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).where("lo < hi").distinct())
         for old in (labels, left, hooks):
             scratch.drop(old)
         labels, left = new_labels, new_left
@@ -358,8 +357,8 @@ def _apart(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int,
     same size; each set goes to all blocks of the other side, so families in which that would
     be more than ``_COPIES`` blocks are first parted by the shingles that can link them.
     """
-    b = scratch.keep(_mixed(buckets, labels))
-    if b.isEmpty():
+    b, n = scratch.counted(_mixed(buckets, labels))
+    if not n["rows"]:
         return b.select(F.col("id").alias("u"), F.col("id").alias("v"))
     members, families = _families(b, sets, scratch)
     wide = families.where(F.col("q") > _COPIES).select("family")
@@ -408,21 +407,27 @@ def near_duplicates(docs: DataFrame, row_key: str = "doc_id", text: str = "text"
     none = spark.createDataFrame([], "id long, root long")
     labels, tested = none, None
     for _ in range(_STARS):
-        checked = scratch.keep(confirmed(_star(buckets, labels, tested), sets, percent))
-        if checked.isEmpty():
+        # Written first: they are read three times, and one plan of both is large in the driver's memory.
+        pairs, n = scratch.counted(_star(buckets, labels, tested))
+        if not n["rows"]:
             break
+        checked, n = scratch.counted(confirmed(pairs, sets, percent), linked=F.col("linked"))
+        scratch.drop(pairs)
         tested = checked if tested is None else tested.unionByName(checked)
-        if not checked.where("linked").isEmpty():
+        if n["linked"]:
             scratch.drop(labels)
             labels = components(tested.where("linked"), scratch)
     if tested is not None:
-        links = scratch.keep(_apart(buckets, labels, sets, percent, scratch))
-        if not links.isEmpty():
+        links, n = scratch.counted(_apart(buckets, labels, sets, percent, scratch))
+        if n["rows"]:
             labels = components(tested.where("linked").select("u", "v").unionByName(links), scratch)
     # Classes of one id are kept or dropped together, so their components are one.
-    linked = classes.select("c", "id").join(labels.select(F.col("id").alias("c"), "root"), "c")
+    linked = classes.select("c", "id").join(labels.select(F.col("id").alias("c"), "root").hint("merge"), "c")
     least = linked.groupBy("root").agg(F.min("id").alias("least"))
-    labels = components(linked.join(least, "root").select(F.col("id").alias("u"), F.col("least").alias("v")), scratch)
+    of_ids = linked.join(least.hint("merge"), "root").groupBy("id").agg(F.min("least").alias("root"), F.max("least").alias("most"))
+    labels, n = scratch.counted(of_ids, several=F.col("root") < F.col("most"))
+    if n["several"]:
+        labels = components(linked.join(least, "root").select(F.col("id").alias("u"), F.col("least").alias("v")), scratch)
     merged = scratch.keep(classes.select("f1", "f2", "id").join(labels, "id", "left").select("f1", "f2", F.coalesce("root", "id").alias("component_id")))
     # The result reads two light tables; all else goes now.
     scratch.drop_all_but(signed, merged)
