@@ -327,7 +327,7 @@ def _temperature(labelled: DataFrame, model: Model) -> float:
             yield pa.RecordBatch.from_pydict({"k": np.arange(loss.size, dtype=np.int32), "loss": loss.ravel()})
 
     losses = mapped(labelled.select("text", "lang"), run, "k int, loss double").groupBy("k").agg(F.sum("loss").alias("loss")).collect()
-    shared.unpersist()
+    shared.destroy()  # the driver's copy, too
     if not losses:
         return model.temperature
     return float(_TEMPERATURES[min(losses, key=lambda r: (round(r["loss"], 6), r["k"]))["k"] // len(_NOISES)])
